@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from catalore.llm import neighbours
+from catalore.llm import consensus, neighbours, survivor
 from catalore.sources.tables import table
 
 
 def queries():
     """Query name to callable."""
+    def votes(run):
+        return lambda spark, d: run(table(spark, d, "tags_items"), table(spark, d, "item_data"), table(spark, d, "tags"))
+
     return {
+        "p1_found": votes(consensus.p1_found),
+        "p1_labels": votes(consensus.p1_labels),
+        "p1_annotators": votes(consensus.p1_annotators),
+        "p3_found": lambda spark, d: survivor.p3_found(table(spark, d, "files")),
+        "p3_survivors": lambda spark, d: survivor.p3_survivors(table(spark, d, "files")),
         "p5_found": lambda spark, d: neighbours.p5_found(table(spark, d, "vector_fixtures")),
         "p5_nearest": lambda spark, d: neighbours.p5_nearest(table(spark, d, "vector_fixtures")),
     }
