@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalore.llm import consensus, neighbours, survivor
+from catalore.llm import consensus, language, neighbours, survivor
 from catalore.sources.tables import table
 
 
@@ -15,6 +15,9 @@ def queries():
         "p1_found": votes(consensus.p1_found),
         "p1_labels": votes(consensus.p1_labels),
         "p1_annotators": votes(consensus.p1_annotators),
+        "p2_found": lambda spark, d: language.p2_found(table(spark, d, "extracted_text")),
+        "p2_segments": lambda spark, d: language.p2_segments(table(spark, d, "extracted_text")),
+        "p2_labels": lambda spark, d: language.p2_labels(table(spark, d, "extracted_text")),
         "p3_found": lambda spark, d: survivor.p3_found(table(spark, d, "files")),
         "p3_survivors": lambda spark, d: survivor.p3_survivors(table(spark, d, "files")),
         "p5_found": lambda spark, d: neighbours.p5_found(table(spark, d, "vector_fixtures")),
