@@ -26,6 +26,8 @@ from catalore.plans.runtime import cut_lineage
 SAMPLE_ROWS = 4096
 #: Rows a shard should hold.
 SHARD_ROWS = 6000
+#: The table of copies is broadcast up to this size, and joined by shuffle beyond.
+BROADCAST_BYTES = 16 << 20
 
 
 def _unit(dims):
@@ -84,16 +86,26 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=np.float32).reshape(len(values), -1) if values else np.zeros((0, 1), np.float32)
 
 
+def _once(table: pa.Table) -> pa.Table:
+    """One row of each class; rows of an id recorded twice meet in their shard."""
+    reps = table.column("rep").to_numpy()
+    _, first = np.unique(reps, return_index=True)
+    return table if len(first) == len(reps) else table.take(pa.array(np.sort(first)))
+
+
 class Index:
     """Classes of equal vectors, their members, and a routing tree per model."""
 
     def __init__(self, vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS):
-        self.rows = cut_lineage(usable(vectors))
         self.spark = vectors.sparkSession
-        self.classes = self.rows.groupBy("model", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-        # members other than the representative, of classes that have some
-        several = self.classes.where("copies > 1").select("model", "vec", "rep")
-        self.members = self.rows.join(several, ["model", "vec"]).select("model", "rep", "id").distinct()
+        self.rows = cut_lineage(usable(vectors).withColumn("key", F.unhex(F.md5("vec"))))
+        repeated = self.rows.groupBy("model", "key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        # members of classes of several rows; a small table where copies are few
+        self.members = cut_lineage(self.rows.select("model", "key", "id").join(repeated, ["model", "key"]).select("model", "rep", "id").distinct())
+        others = self.members.where("id <> rep").select("model", "id")
+        if self.members.count() * 64 <= BROADCAST_BYTES:
+            others = F.broadcast(others)
+        self.classes = self.rows.join(others, ["model", "id"], "left_anti").select("model", F.col("id").alias("rep"), "vec")
         counts = {r["model"]: r["count"] for r in self.rows.groupBy("model").count().collect()}
         share = F.lit(0.0)
         for model, n in counts.items():
@@ -159,6 +171,7 @@ class Index:
         asks = self.classes.select("rep", "model", "vec", F.lit(True).alias("asks"))
 
         def search(table: pa.Table) -> pa.Table:
+            table = _once(table)
             member = np.asarray(table.column("member").combine_chunks())
             x, reps = _matrix(table.column("vec")), table.column("rep").to_numpy()
             points, names = x[member], reps[member]
@@ -198,11 +211,13 @@ class Index:
         the query itself, so a query's own class counts only if it has more
         rows. Ties go to the smaller id.
         """
-        asked = self.rows.where(queries).join(self.classes, ["model", "vec"]).select("id", "rep", "model")
+        rep_of = self.members.select("model", "id", "rep")
+        asked = self.rows.where(queries).select("model", "id").join(rep_of, ["model", "id"], "left").select("id", F.coalesce("rep", "id").alias("rep"), "model").distinct()
         wanted = asked.select("rep", "model").distinct().withColumn("asks", F.lit(True))
-        source = self.classes.join(wanted, ["rep", "model"], "left").select("rep", "model", "vec", F.coalesce("asks", F.lit(False)).alias("asks"))
+        source = self.classes.join(F.broadcast(wanted) if wanted.count() * 64 <= BROADCAST_BYTES else wanted, ["rep", "model"], "left").select("rep", "model", "vec", F.coalesce("asks", F.lit(False)).alias("asks"))
 
         def search(table: pa.Table) -> pa.Table:
+            table = _once(table)
             member, query = np.asarray(table.column("member").combine_chunks()), np.asarray(table.column("query").combine_chunks())
             x, reps = _matrix(table.column("vec")), table.column("rep").to_numpy()
             points, names = x[member], reps[member]
@@ -217,8 +232,8 @@ class Index:
         found = self._routed(source, "nearest", (k, factor)).groupBy("model", "shard").applyInArrow(search, "model string, rep long, neighbour long, cosine double")
         best = Window.partitionBy("model", "rep").orderBy(F.desc("cosine"), "neighbour")
         short = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
-        sizes = self.classes.select("model", F.col("rep").alias("neighbour"), "copies")
-        named = short.join(sizes, ["model", "neighbour"]).join(asked, ["model", "rep"])
+        sizes = self.members.groupBy("model", F.col("rep").alias("neighbour")).agg(F.count(F.lit(1)).alias("copies"))
+        named = short.join(sizes, ["model", "neighbour"], "left").join(asked, ["model", "rep"]).withColumn("copies", F.coalesce("copies", F.lit(1)))
         named = named.withColumn("copies", F.col("copies") - (F.col("neighbour") == F.col("rep")).cast("long")).where("copies > 0")
         order = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
         return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "rank", "neighbour", "cosine", "copies")
