@@ -13,12 +13,13 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 #: Times are real from 1990 up to the export.
 EARLIEST, LATEST = "1990-01-01T00:00:00Z", "2026-06-30T23:59:59.999999Z"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(paths: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no function for it."""
     return paths.map(lambda p: p if p is None or p.isascii() else unicodedata.normalize("NFC", p))
