@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalore.llm import consensus, language, neighbours, survivor
+from catalore.llm import consensus, language, neighbours, ocr, survivor
 from catalore.sources.tables import table
 
 
@@ -11,6 +11,9 @@ def queries():
     def votes(run):
         return lambda spark, d: run(table(spark, d, "tags_items"), table(spark, d, "item_data"), table(spark, d, "tags"))
 
+    def scans(run):
+        return lambda spark, d: run(table(spark, d, "extracted_text"), table(spark, d, "item_data"), table(spark, d, "setters"))
+
     return {
         "p1_found": votes(consensus.p1_found),
         "p1_labels": votes(consensus.p1_labels),
@@ -20,6 +23,8 @@ def queries():
         "p2_labels": lambda spark, d: language.p2_labels(table(spark, d, "extracted_text")),
         "p3_found": lambda spark, d: survivor.p3_found(table(spark, d, "files")),
         "p3_survivors": lambda spark, d: survivor.p3_survivors(table(spark, d, "files")),
+        "p4_found": scans(ocr.p4_found),
+        "p4_pages": scans(ocr.p4_pages),
         "p5_found": lambda spark, d: neighbours.p5_found(table(spark, d, "vector_fixtures")),
         "p5_nearest": lambda spark, d: neighbours.p5_nearest(table(spark, d, "vector_fixtures")),
     }
