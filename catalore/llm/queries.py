@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalore.llm import consensus, language, neighbours, ocr, survivor
+from catalore.llm import chunking, consensus, language, mixing, neighbours, ocr, packing, survivor
 from catalore.sources.tables import table
 
 
@@ -27,6 +27,13 @@ def queries():
         "p4_pages": scans(ocr.p4_pages),
         "p5_found": lambda spark, d: neighbours.p5_found(table(spark, d, "vector_fixtures")),
         "p5_nearest": lambda spark, d: neighbours.p5_nearest(table(spark, d, "vector_fixtures")),
+        "p6_pack": lambda spark, d: packing.p6_pack(table(spark, d, "documents")),
+        "p6_fill": lambda spark, d: packing.p6_fill(table(spark, d, "documents")),
+        "p7_found": lambda spark, d: mixing.p7_found(table(spark, d, "documents"), table(spark, d, "mix_targets")),
+        "p7_mix": lambda spark, d: mixing.p7_mix(table(spark, d, "documents"), table(spark, d, "mix_targets")),
+        "p7_shares": lambda spark, d: mixing.p7_shares(table(spark, d, "documents"), table(spark, d, "mix_targets")),
+        "p8_found": lambda spark, d: chunking.p8_found(table(spark, d, "documents")),
+        "p8_pieces": lambda spark, d: chunking.p8_pieces(table(spark, d, "documents")),
     }
 
 
