@@ -29,7 +29,7 @@ VOCABULARY = 20_000
 #: A neighbour is this often as frequent as the rare word at least, and occurs LEAST times.
 TIMES, LEAST = 6, 4
 #: Cosine between the context and the neighbour from which a link is followed.
-AGREE = -0.15
+AGREE = -0.4
 
 #: Glyphs (groups) that print alike, each rewritten to the right side, in this order.
 GLYPHS = (("@", "a"), ("0", "o"), ("†", "t"), ("5", "s"), ("$", "s"), ("9", "g"), ("8", "b"), ("6", "b"), ("h", "b"), ("e", "c"), ("d", "cl"), ("m", "rn"), ("n", "ri"), ("u", "ii"), ("1", "l"), ("|", "l"), ("i", "l"))
