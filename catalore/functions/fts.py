@@ -230,5 +230,9 @@ def prefix_terms(column: Column, query: str) -> Column:
     words = F.split(F.lower(column), r"[^\p{L}\p{N}]+")
     found = F.lit(True)
     for term in re.findall(r"[^\W_]+", query.lower()):
-        found = found & F.exists(words, lambda w, t=term: w.startswith(t))
+        found = found & F.exists(words, _starting(term))
     return found
+
+
+def _starting(term: str):
+    return lambda word: word.startswith(term)

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from catalore.functions.fts import prefix_terms
 from catalore.plans.compile import item_set
+from catalore.plans.ranks import row_numbers
 from catalore.sources.catalog import Catalog
 
 #: Seconds and weights of the activity order.
@@ -107,21 +108,20 @@ def boards(cat: Catalog, user: str = "user", name_query: str | None = None, orde
     """A user's boards with counts, by activity or latest update; ``at`` is the place.
 
     By activity: a strip of the five most recently touched, then all others by
-    score, ties by last use and id. Board lists are a user's own and small.
+    score, ties by last use and id.
     """
     own = cat["pinboards"].where(F.col("user") == user)
     if name_query:
         own = own.where(prefix_terms(F.col("name"), name_query))
     out = board_counts(cat, own)
     if order == "updated":
-        keys = [F.desc_nulls_last("time_updated"), F.desc("id")]
-    else:
-        recent = [F.desc_nulls_last("last_seen"), F.desc("id")]
-        place = F.row_number().over(Window.partitionBy("user").orderBy(*recent))
-        out = out.withColumn("_strip", place)
-        ahead = F.col("_strip") <= STRIP
-        keys = [F.when(ahead, F.col("_strip")).otherwise(STRIP + 1), F.when(ahead, 0.0).otherwise(activity_score(now)).desc(), *recent]
-    return out.withColumn("at", F.row_number().over(Window.partitionBy("user").orderBy(*keys)).cast("long")).drop("_strip")
+        return row_numbers(out, [F.desc_nulls_last("time_updated"), F.desc("id")], "at")
+    recent = [F.desc_nulls_last("last_seen"), F.desc("id")]
+    strip = own.orderBy(*recent).limit(STRIP).select("id", F.row_number().over(Window.orderBy(*recent)).alias("_strip"))
+    out = out.join(F.broadcast(strip), "id", "left")
+    ahead = F.col("_strip").isNotNull()
+    out = out.withColumn("_place", F.coalesce("_strip", F.lit(STRIP + 1))).withColumn("_score", F.when(ahead, 0.0).otherwise(activity_score(now)))
+    return row_numbers(out, [F.col("_place"), F.desc("_score"), *recent], "at").drop("_strip", "_place", "_score")
 
 
 def associations(cat: Catalog, boards: DataFrame, db_uuid: str | None, db_name: str, instance: str | None, live: list[str]) -> DataFrame:
@@ -149,8 +149,9 @@ def boards_search(cat: Catalog, query: dict, user: str = "user", now: int = 0) -
     out = board_counts(cat, own.join(hits, "head_version_id"))
     best = F.col("best_key").desc_nulls_last() if direction == "desc" else F.col("best_key").asc_nulls_last()
     share = F.try_divide(F.col("match_count"), F.col("item_count"))
-    keys = ([best] if direction else []) + [share.desc_nulls_last(), F.desc("match_count"), activity_score(now).desc(), F.desc_nulls_last("last_seen"), F.desc("id")]
-    return out.withColumn("at", F.row_number().over(Window.partitionBy("user").orderBy(*keys)).cast("long"))
+    out = out.withColumn("_share", share).withColumn("_score", activity_score(now))
+    keys = ([best] if direction else []) + [F.desc_nulls_last("_share"), F.desc("match_count"), F.desc("_score"), F.desc_nulls_last("last_seen"), F.desc("id")]
+    return row_numbers(out, keys, "at").drop("_share", "_score")
 
 
 def append_version(cat: Catalog, version: DataFrame, pins: DataFrame, now: str) -> Catalog:
