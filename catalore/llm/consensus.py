@@ -27,6 +27,8 @@ from catalore.plans.runtime import cut_lineage
 ATTRIBUTES = ("kind", "palette", "setting")
 #: Equal errors beyond this share of all joint errors count as dependence.
 DEPENDENT = 0.25
+#: Annotators that give the same label this often, on so many items, start as one.
+IDENTICAL, LEAST_JOINT = 0.97, 20
 
 
 def plain(column):
@@ -67,7 +69,7 @@ class _Parameters:
 
 
 def _posteriors(x, item, who, what, sure, p, inner=8):
-    """Posterior (items, labels), ease and vote quantities of one attribute's votes."""
+    """Posterior (items, labels), ease, and per vote: its posterior, right chance, weight."""
     n, k = int(item.max()) + 1, len(p.prior[x])
     strength = p.alpha[x][who] + p.gamma[x][who] * sure
     weight = np.ones(len(item))
@@ -139,15 +141,16 @@ def _sums(p):
                         break
                     u, v = order[at], order[at + step]
                     equal = what[u] == what[v]
-                    miss = np.where(equal, 1 - z[item[u], what[u]], np.maximum(1 - z[item[u], what[u]] - z[item[u], what[v]], 0))
+                    zu, zv = z[item[u], what[u]], z[item[u], what[v]]
+                    miss = np.where(equal, 1 - zu, np.maximum(1 - zu - zv, 0))
                     code = np.minimum(who[u], who[v]) * n + np.maximum(who[u], who[v])
                     for c in np.unique(code[who[u] != who[v]]).tolist():
                         m = code == c
-                        joint[(x, c // n, c % n)] = joint.get((x, c // n, c % n), np.zeros(2)) + [miss[m & equal].sum(), miss[m].sum()]
+                        joint[(x, c // n, c % n)] = joint.get((x, c // n, c % n), np.zeros(4)) + [miss[m & equal].sum(), miss[m].sum(), (m & equal).sum(), m.sum()]
                     step += 1
         out = [(x, "who", i, -1, *sums[:, i].tolist()) for x, (sums, _) in parts.items() for i in range(n) if sums[5, i]]
         out += [(x, "label", i, -1, float(v), 0.0, 0.0, 0.0, 0.0, 0.0) for x, (_, prior) in parts.items() for i, v in enumerate(prior)]
-        out += [(x, "pair", i, j, float(v[0]), float(v[1]), 0.0, 0.0, 0.0, 0.0) for (x, i, j), v in joint.items()]
+        out += [(x, "pair", i, j, *v.tolist(), 0.0, 0.0) for (x, i, j), v in joint.items()]
         if out:
             names = ["x", "what", "i", "j", "a", "b", "c", "d", "e", "f"]
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 6]
@@ -196,7 +199,7 @@ class Consensus:
 
     LABELS = "item_id long, namespace string, name string, posterior double, agreement double, difficulty double, labels long, votes long"
 
-    def __init__(self, votes: DataFrame, passes: int = 10):
+    def __init__(self, votes: DataFrame, passes: int = 12):
         self.spark = votes.sparkSession
         spread = votes.groupBy("annotator").agg(F.avg("confidence").alias("middle"), F.stddev("confidence").alias("spread"))
         scaled = votes.join(F.broadcast(spread), "annotator").withColumn(
@@ -212,9 +215,10 @@ class Consensus:
         self.p = _Parameters(sorted({r["annotator"] for r in names}), labels)
         self.quality = {}
         for at in range(passes if names else 0):
-            self._pass(learn_copies=at >= 2)
+            self._pass(at)
 
-    def _pass(self, learn_copies: bool) -> None:
+    def _pass(self, at: int) -> None:
+        """One round. The first only finds annotators that are as good as one, lest a crowd of copies pass for skill."""
         p = self.p
         sums = self.packed.mapInArrow(_sums(p), "x long, what string, i long, j long, a double, b double, c double, d double, e double, f double")
         got = sums.groupBy("x", "what", "i", "j").agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()
@@ -223,20 +227,23 @@ class Consensus:
         for r in got:
             x, i = r["x"], r["i"]
             if r["what"] == "who":
-                p.alpha[x, i] += float(np.clip((r["a"] - 0.05 * p.alpha[x, i]) / (r["b"] + 0.05), -1.5, 1.5))
-                p.gamma[x, i] += float(np.clip((r["c"] - 0.5 * p.gamma[x, i]) / (r["d"] + 0.5), -1, 1))
+                if at:
+                    p.alpha[x, i] += float(np.clip((r["a"] - 0.05 * p.alpha[x, i]) / (r["b"] + 0.05), -1.5, 1.5))
+                    p.gamma[x, i] += float(np.clip((r["c"] - 0.5 * p.gamma[x, i]) / (r["d"] + 0.5), -1, 1))
                 self.quality[(x, i)] = (r["e"], r["f"])
             elif r["what"] == "label":
                 prior[x][i] += r["a"]
             else:
-                joint[(i, r["j"])] = joint.get((i, r["j"]), np.zeros(2)) + [r["a"], r["b"]]
+                joint[(i, r["j"])] = joint.get((i, r["j"]), np.zeros(4)) + [r["a"], r["b"], r["c"], r["d"]]
         p.prior = [(v + 1) / (v + 1).sum() for v in prior]
         p.alpha, p.gamma = np.clip(p.alpha, -4, 6), np.clip(p.gamma, -3, 3)
-        if learn_copies:
-            chance = 1.0 / max(min((len(v) for v in p.prior), default=2) - 1, 1)
-            shares = {key: (same + 10 * chance) / (both + 10) for key, (same, both) in joint.items()}
-            excess = {key: (v - chance) / (1 - chance) for key, v in shares.items() if chance < 1}
-            p.copies = {key: v for key, v in excess.items() if v > DEPENDENT}
+        if at < 3:
+            self.p.copies = {key: 1.0 for key, (_, _, same, both) in joint.items() if both >= LEAST_JOINT and same >= IDENTICAL * both}
+            return
+        chance = 1.0 / max(min((len(v) for v in p.prior), default=2) - 1, 1)
+        shares = {key: (same + 10 * chance) / (both + 10) for key, (same, both, _, _) in joint.items()}
+        excess = {key: (v - chance) / (1 - chance) for key, v in shares.items() if chance < 1}
+        p.copies = {key: v for key, v in excess.items() if v > DEPENDENT}
 
     def labels(self) -> DataFrame:
         """One row per item and attribute: label, posterior, agreement beyond chance, difficulty."""

@@ -153,6 +153,10 @@ class Classifier:
         self._known[text] = got
         return got
 
+    def novel(self, text: str) -> bool:
+        """Whether no dictionary shortens a text much."""
+        return self.best(text)[0] is None and min(self.sizes(text)) > 0.85 * len(text.encode())
+
 
 def _dictionary(sentences: list[str], limit: int = DICTIONARY_BYTES) -> bytes:
     """The sentences that add most unseen word pairs, up to ``limit`` bytes."""
@@ -177,8 +181,8 @@ def fit(texts: DataFrame, sample: int = SAMPLE_TEXTS, rounds: int = 3) -> Classi
     """Dictionaries from about ``sample`` labelled texts of each language that has at least 3.
 
     Wrong labels: the sample is split in halves, each half is classified with
-    the other's dictionaries, and only sentences that get their label back go
-    into the next round's.
+    the other's dictionaries, and only sentences that get their label back, or
+    that no dictionary knows anything of, go into the next round's.
     """
     labelled = texts.select("id", "text", code(F.col("language")).alias("lang")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -199,7 +203,7 @@ def fit(texts: DataFrame, sample: int = SAMPLE_TEXTS, rounds: int = 3) -> Classi
         made = [Classifier({k: d for k in langs if (d := _dictionary(h[k]))}) for h in kept]
         if min(len(m.codes) for m in made) < 2:
             break
-        kept = [{k: [s for s in h[k] if other.best(s)[0] == k] for k in langs} for h, other in zip(halves, reversed(made))]
+        kept = [{k: [s for s in h[k] if other.best(s)[0] == k or other.novel(s)] for k in langs} for h, other in zip(halves, reversed(made))]
     both = {k: [s for pair in zip_longest(kept[0][k], kept[1][k]) for s in pair if s] for k in langs}
     return Classifier({k: d for k in langs if (d := _dictionary(both[k]))})
 

@@ -203,7 +203,7 @@ class Index:
         both = across.unionByName(inside).where("x <> y")
         return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
-    def nearest(self, queries, k: int = 10, factor: float = 4.0) -> DataFrame:
+    def nearest(self, queries, k: int = 10, factor: float = 2.5) -> DataFrame:
         """(id, rank, neighbour, cosine, copies): the k most similar classes of each query row.
 
         ``queries`` is a condition on ``id``. A neighbour is named by its
@@ -244,6 +244,6 @@ def p5_found(vectors: DataFrame, cosine: float = 0.9, factor: float = 6.0) -> Da
     return Index(vectors).pairs(cosine, factor)
 
 
-def p5_nearest(vectors: DataFrame, k: int = 10, factor: float = 4.0) -> DataFrame:
+def p5_nearest(vectors: DataFrame, k: int = 10, factor: float = 2.5) -> DataFrame:
     """The k most similar classes of every row whose id is divisible by 50, against all rows."""
     return Index(vectors).nearest(F.col("id") % 50 == 0, k, factor)
