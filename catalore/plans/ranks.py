@@ -14,11 +14,11 @@ BIG = 9223372036854775805
 def row_numbers(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with global 1-based row numbers in ``order``.
 
-    Rows are range-partitioned by the order and kept, so that both passes see
-    the same ranges; each partition numbers its own rows from the count of those
+    Rows are computed once, then range-partitioned by the order and kept again,
+    so that both passes see the same ranges; each partition numbers its own rows from the count of those
     before it. Only the counts, one a partition, are broadcast.
     """
-    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ranged = cut_lineage(cut_lineage(df).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
