@@ -20,7 +20,9 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 #: Labelled texts per language that the dictionaries are fitted on, at most in expectation.
-SAMPLE_TEXTS = 400
+SAMPLE_TEXTS = 250
+#: Sentences of one text that the fit looks at, at most.
+SAMPLE_PARTS = 24
 #: Bytes of one dictionary.
 DICTIONARY_BYTES = 48 << 10
 #: Bytes by which the best size must undercut the second for a part to count.
@@ -193,7 +195,7 @@ def fit(texts: DataFrame, sample: int = SAMPLE_TEXTS, rounds: int = 3) -> Classi
     halves: list[dict[str, list[str]]] = [{}, {}]
     for r in labelled.where(draw).orderBy("id", "text").collect():
         own = halves[hash_bit(r["text"])].setdefault(r["lang"], [])
-        for a, b in parts(r["text"])[:60]:
+        for a, b in parts(r["text"])[:SAMPLE_PARTS]:
             s = fold(bare(r["text"][a:b]))
             if len(s) >= 12:
                 own.append(s)
