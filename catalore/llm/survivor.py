@@ -1,10 +1,10 @@
 """Problem 3: one surviving record of each group of duplicate records.
 
 Each field is unpivoted to long rows, every row votes for its value in normal
-form with the trust of its source times a decay of its age within the group,
-the votes are summed per value, ``max_by`` picks the winners and a pivot brings
-the fields back side by side. Sums are combined map-side, so a group holding a
-third of all rows reaches its reducer as one row per distinct value.
+form with the trust of its source times a decay of its age, the votes are
+summed per value, and a pivot of ``max_by`` brings the winners back side by
+side. Sums are combined map-side, so a group holding a third of all rows reaches
+its reducer as a few rows per distinct value.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+#: Half-lives that one bucket of votes spans.
+SPAN = 64
 #: Times are real from 1990 up to the export.
 EARLIEST, LATEST = "1990-01-01T00:00:00Z", "2026-06-30T23:59:59.999999Z"
 
@@ -68,29 +70,34 @@ def whole_hash(text: Column) -> Column:
 def survivors(records: DataFrame, key: Column, fields: dict[str, Column], at: Column, trust: Column, half_life_s: float) -> DataFrame:
     """(key, first_id, records, one column per field): the best value of each field.
 
-    A vote weighs ``trust * 2^(-age / half_life_s)``, age being the seconds to
-    the newest record of the group that has a value in the field; records
-    without a real time weigh as if older than all others. Ties go to the value
-    seen last, then to the greater one. Records with a null key belong to no
-    group; a field without any value is null.
+    A vote weighs ``trust * 2^(-age / half_life_s)``; records without a real
+    time weigh as if older than all others. Ties go to the value seen last, then
+    to the greater one. Records with a null key belong to no group; a field
+    without any value is null.
+
+    Only ratios of votes matter, so ages count from a common origin: a weight
+    is a mantissa and a bucket of SPAN half-lives, a value's votes are summed by
+    bucket, and each bucket also gets what its lower neighbour carries over. The
+    sums combine map-side and no group is ever gathered, however large.
     """
     rows = records.select(F.col("id"), key.alias("_key"), at.alias("_at"), trust.cast("double").alias("_trust"), *[v.cast("string").alias(f"_{n}") for n, v in fields.items()])
     rows = rows.where("_key is not null")
     names = list(fields)
+    lives = F.unix_micros("_at") / F.lit(1e6 * half_life_s)
+    bucket = F.coalesce(F.floor(lives / SPAN).cast("long"), F.lit(-(1 << 60)))
+    mantissa = F.col("_trust") * F.coalesce(F.pow(F.lit(2.0), lives - F.floor(lives / SPAN) * SPAN), F.lit(1.0))
     long = rows.select(
-        "_key", "id", F.unix_micros("_at").alias("_us"), "_trust",
+        "_key", "id", F.unix_micros("_at").alias("_us"), bucket.alias("_b"), mantissa.alias("_m"),
         F.explode(F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("value")), *[F.struct(F.lit(n).alias("field"), F.col(f"_{n}").alias("value")) for n in names])).alias("f"),
-    ).select("_key", "id", "_us", "_trust", "f.field", "f.value").where("value is not null")
-    # rows of one value and time are one vote of their summed trust
-    same = long.groupBy("_key", "field", "value", "_us").agg(F.sum("_trust").alias("trust"), F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    newest = same.groupBy("_key", "field").agg(F.max("_us").alias("newest"), F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_list(F.struct("value", "_us", "trust")).alias("votes"))
-    age = lambda v: (F.col("newest") - v["_us"]) / F.lit(1e6 * half_life_s)
-    weighed = newest.where("field <> ''").select("_key", "field", F.explode(F.transform("votes", lambda v: F.struct(v["value"].alias("value"), v["_us"].alias("us"), (v["trust"] * F.coalesce(F.pow(F.lit(2.0), -F.least(age(v), F.lit(1000.0))), F.lit(1e-305))).alias("vote")))).alias("v"))
-    summed = weighed.groupBy("_key", "field", "v.value").agg(F.sum("v.vote").alias("vote"), F.max("v.us").alias("last"))
-    won = summed.groupBy("_key", "field").agg(F.max_by("value", F.struct("vote", "last", "value")).alias("value"))
-    wide = won.groupBy("_key").pivot("field", names).agg(F.first("value"))
-    counts = newest.where("field = ''").select("_key", F.col("first").alias("first_id"), F.col("n").alias("records"))
-    return counts.join(wide, "_key", "left").withColumnRenamed("_key", "key")
+    ).where("f.value is not null")
+    own, carried = F.struct(F.col("_b").alias("b"), F.col("_m").alias("m"), F.lit(1).alias("own")), F.struct((F.col("_b") + 1).alias("b"), (F.col("_m") * 2.0**-SPAN).alias("m"), F.lit(0).alias("own"))
+    both = long.select("_key", "f.field", "f.value", "_us", "id", F.explode(F.when(F.col("f.field") == "", F.array(own)).otherwise(F.array(own, carried))).alias("v"))
+    by_bucket = both.groupBy("_key", "field", "value", "v.b").agg(F.sum("v.m").alias("m"), F.sum("v.own").alias("n"), F.max("_us").alias("last"), F.min("id").alias("first"))
+    by_value = by_bucket.where("n > 0").groupBy("_key", "field", "value").agg(F.max(F.struct("b", "m")).alias("top"), F.max("last").alias("last"), F.min("first").alias("first"), F.sum("n").alias("n"))
+    vote = F.struct((F.col("top.b").cast("double") * SPAN + F.log2("top.m")).alias("vote"), "last", "value")
+    best = [F.max_by(F.when(F.col("field") == n, F.col("value")), F.when(F.col("field") == n, vote)).alias(n) for n in names]
+    whole = [F.min("first").alias("first_id"), F.sum(F.when(F.col("field") == "", F.col("n"))).alias("records")]
+    return by_value.groupBy(F.col("_key").alias("key")).agg(*whole, *best)
 
 
 def file_survivors(files: DataFrame, half_life_s: float = 1e-3) -> DataFrame:
