@@ -277,8 +277,9 @@ def segments(texts: DataFrame, classifier: Classifier) -> DataFrame:
             if rows:
                 yield pd.DataFrame(rows, columns=["id", "label", "part", "start", "end", "language", "confidence", "words", "sentence"])
 
-    source = texts.where("id is not null").select(F.col("id").cast("long"), F.col("language").alias("label"), "text").distinct()
-    return source.mapInPandas(run, kinds)
+    source = texts.where("id is not null").select(F.col("id").cast("long"), F.col("language").alias("label"), "text")
+    # repeated rows are dropped by their parts, which are smaller than texts
+    return source.mapInPandas(run, kinds).distinct()
 
 
 def p2_found(texts: DataFrame) -> DataFrame:
