@@ -37,6 +37,30 @@ def queries():
     }
 
 
+#: A file's place, hash and time as SQL.
+FILES_SQL = r"""
+with a as (select *, regexp_replace(path, '^[\s"'']+|[\s"'']+$', '', 'g') p from files where path is not null),
+b as (select *, regexp_replace(replace(p, '\', '/'), '^file:(//(localhost)?)?', '', 'i') q from a where p <> ''),
+c as (select *, nfc_normalize(case when contains(q, '%') then url_decode(q) else q end) r from b),
+d as (select *, array_to_string(list_reduce(list_transform(string_split(r, '/'), lambda s: [s]), lambda done, s: case when s[1] in ('', '.') then done when s[1] = '..' then done[:-2] else list_concat(done, s) end), '/') place from c),
+e as (select *, regexp_replace(regexp_replace(trim(last_modified), '^(\d{4})/(\d\d)/(\d\d)', '\1-\2-\3'), ' ', 'T') t,
+  regexp_replace(lower(trim(sha256)), '^sha256:', '') h from d),
+f as (select *, try_cast(case when regexp_matches(t, '(Z|[+-]\d\d:\d\d)$') then t else t || 'Z' end as timestamptz) at0,
+  case when regexp_matches(h, '^[0-9a-f]{64}$') and h <> repeat(left(h, 1), 64) then h end hash from e),
+g as (select *, case when at0 >= timestamptz '1990-01-01 00:00:00+00' and at0 < timestamptz '2026-07-01 00:00:00+00' then epoch_us(at0) end us from f)
+select min(id) first_id, arg_max(hash, (coalesce(us, 0), hash)) filter (where hash is not null) sha256,
+  strftime(make_timestamp(max(us)), '%Y-%m-%dT%H:%M:%SZ') last_modified
+from g group by place having count(*) > 1"""
+
+#: Pairs of usable vectors by comparing all of one model.
+PAIRS_SQL = """
+with v as (select id, model, case when embedding is not null then embedding::double[] else query_quant::double[] end x from vector_fixtures),
+n as (select model, len(x) dim, count(*) n from v where x is not null group by all), m as (select model, arg_max(dim, n * 100000 + dim) dim from n group by 1),
+u as (select v.id, v.model, x from v join m on m.model = v.model and m.dim = len(x)
+  where list_aggregate(list_transform(x, lambda y: (isnan(y) or isinf(y))::int), 'max') = 0 and list_aggregate(list_transform(x, lambda y: abs(y)), 'max') > 0)
+select a.id id_a, b.id id_b from u a join u b on a.model = b.model and a.id < b.id where list_cosine_similarity(a.x, b.x) >= 0.9"""
+
+
 def oracle_sql():
     """SQL for those queries that SQL can state over whole tables."""
-    return {}
+    return {"p3_found": FILES_SQL, "p5_found": PAIRS_SQL}
