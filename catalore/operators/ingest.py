@@ -158,6 +158,45 @@ def cascade(cat: Catalog, items: DataFrame | None = None, data: DataFrame | None
     return cat.but(**out)
 
 
+def folder_update(cat: Catalog, wanted: DataFrame, rules: list[dict] | None = None, drop_unavailable: bool = False) -> Catalog:
+    """The catalogue under new folders (path, included), cleaned in the fixed order.
+
+    Unavailable files (if wanted), files that break a rule, files outside the
+    folders, items left without files with all their data, unused tags.
+    """
+    folders = wanted.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("time_added"), "path", "included")
+    cat = cat.but(folders=folders)
+    if drop_unavailable:
+        cat = cat.but(files=cat["files"].where("coalesce(available, true)"))
+    if rules:
+        cat = cat.but(files=cat["files"].join(not_allowed(cat, rules).select(F.col("file_id").alias("id")), "id", "left_anti"))
+    cat = cat.but(files=cat["files"].join(outside_folders(cat).select("id"), "id", "left_anti"))
+    cat = cascade(cat, items=orphan_items(cat).select("id"))
+    return cat.but(tags=cat["tags"].join(orphan_tags(cat).select("id"), "id", "left_anti"))
+
+
+def inputs(cat: Catalog, keys: DataFrame, handler: str, most_frames: int = 4) -> DataFrame:
+    """What a model reads of each work row, by handler.
+
+    extracted_text: (data_id, item_id, text); md5: (item_id, md5); sha256_md5_path:
+    (item_id, sha256, md5, path), an available path first; image_frames: (item_id,
+    frame, path), one row a frame of up to ``most_frames`` slices of a video.
+    """
+    if handler == "extracted_text":
+        return cat.texts.join(keys.select("data_id"), "data_id", "left_semi").select("data_id", "item_id", "text")
+    items = cat["items"].join(keys.select(F.col("item_id").alias("id")), "id", "left_semi")
+    if handler == "md5":
+        return items.select(F.col("id").alias("item_id"), "md5")
+    paths = cat["files"].groupBy(F.col("item_id").alias("id")).agg(F.min_by("path", F.struct(~F.coalesce("available", F.lit(False)), "id")).alias("path"))
+    placed = items.join(paths, "id")
+    if handler == "sha256_md5_path":
+        return placed.select(F.col("id").alias("item_id"), "sha256", "md5", "path")
+    if handler == "image_frames":
+        frames = F.when(F.col("type").startswith("video/"), F.sequence(F.lit(0), F.lit(most_frames - 1))).otherwise(F.array(F.lit(0)))
+        return placed.select(F.col("id").alias("item_id"), F.explode(frames).alias("frame"), "path")
+    raise ValueError(f"unknown input handler {handler!r}")
+
+
 def clean_incomplete(cat: Catalog, drop: bool = True) -> Catalog:
     """The catalogue after jobs that never ended: their data dropped, or the jobs marked abandoned."""
     open_jobs = cat["data_jobs"].where("completed = 0").select(F.col("id").alias("job_id"))

@@ -57,6 +57,29 @@ def encode(catalog: Catalog, profile_id: int = 1, rev: int = 1, known: DataFrame
     return codes.select("id", F.lit(profile_id).cast("long").alias("profile_id"), F.lit(rev).cast("long").alias("rev"), "quant", "setter"), steps
 
 
+def inline(new: DataFrame, catalog: Catalog, profile_id: int, rev: int = 1) -> DataFrame:
+    """Codes (id, profile_id, rev, quant) of new vectors (id, setter_id, embedding) whose setter's step is settled.
+
+    Vectors of another dimension than the setter's get no code.
+    """
+    cover = catalog["vector_quant_coverage"].where((F.col("profile_id") == profile_id) & F.col("artifact").isNotNull())
+    steps = {r["setter_id"]: (r["artifact"], r["dim"]) for r in cover.select("setter_id", "artifact", "dim").collect()}  # one row a setter
+    parts = [new.where((F.col("setter_id") == s) & (F.size("embedding") == dim)).select("id", quantize(F.col("embedding"), step).alias("quant")) for s, (step, dim) in sorted(steps.items())]
+    if not parts:
+        parts = [new.limit(0).select("id", F.lit(None).cast("array<tinyint>").alias("quant"))]
+    return reduce(DataFrame.unionByName, parts).select("id", F.lit(profile_id).cast("long").alias("profile_id"), F.lit(rev).cast("long").alias("rev"), "quant")
+
+
+def finished(catalog: Catalog, profile_id: int, rev: int, least: int = ARTIFACT_MIN_VECTORS) -> DataFrame:
+    """(setter, vectors, remaining, state): ready once enough vectors exist and none lacks its code."""
+    usual = spaces(catalog).select("setter", F.col("dim").alias("usual"))
+    vectors = vector_rows(catalog).join(F.broadcast(usual), "setter").where("dim = usual").select("id", "setter")
+    coded = catalog["embedding_quants"].where((F.col("profile_id") == profile_id) & (F.col("rev") == rev)).select("id", F.lit(1).alias("_coded"))
+    each = vectors.join(coded, "id", "left").groupBy("setter").agg(F.count(F.lit(1)).alias("vectors"), (F.count(F.lit(1)) - F.count("_coded")).alias("remaining"))
+    state = F.when(F.col("vectors") < least, "pending").when(F.col("remaining") > 0, "building").otherwise("ready")
+    return each.withColumn("state", state)
+
+
 def coverage(catalog: Catalog) -> DataFrame:
     """(setter, vectors, coded): stored vectors of each setter and those that have a code."""
     made = catalog["item_data"].where("data_type in ('clip', 'text-embedding') and not coalesce(is_placeholder, false)").select("id", "setter_id")

@@ -173,6 +173,14 @@ def delete_version(cat: Catalog, version_id: int) -> Catalog:
     return cat.but(pinboard_versions=versions, pinboard_version_items=items, pinboards=boards)
 
 
+def versions(cat: Catalog, board_id: int) -> DataFrame:
+    """(id, time_added, items, head): a board's versions, newest first."""
+    own = cat["pinboard_versions"].where(F.col("pinboard_id") == board_id)
+    items = cat["pinboard_version_items"].join(own.select(F.col("id").alias("version_id")), "version_id", "left_semi").groupBy(F.col("version_id").alias("id")).agg(F.count(F.lit(1)).alias("items"))
+    heads = cat["pinboards"].where(F.col("id") == board_id).select(F.col("head_version_id").alias("id"), F.lit(True).alias("head"))
+    return own.join(items, "id", "left").join(heads, "id", "left").select("id", "time_added", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("head", F.lit(False)).alias("head")).orderBy(F.desc("id"))
+
+
 def rename(cat: Catalog, board_id: int, name: str, now: str) -> Catalog:
     """The catalogue with a board renamed."""
     own = F.col("id") == board_id

@@ -149,6 +149,22 @@ def registered():
         with {failed} select distinct d.id data_id from files f join items i on i.id = f.item_id join item_data d on d.item_id = i.id and d.data_type = 'text' join setters z on z.id = d.setter_id join extracted_text x on x.id = d.id
         where not coalesce(d.is_placeholder, false) and d.id not in (select v.source_id from item_data v join setters s on s.id = v.setter_id where s.name = 'textembed/borough-128' and v.source_id is not null)
         and i.id not in (select e.item_id from item_extraction_errors e join setters s on s.id = e.setter_id where s.name = 'textembed/borough-128' and e.attempts >= e.skip_after)"""
+    def updated(spark, d, name, *columns):
+        c = catalog(spark, d)
+        wanted = spark.createDataFrame([("/library/vol1", True), ("/library/vol1/tapes", False)], "path string, included boolean")
+        return ingest.folder_update(c, wanted, [{"match": {"gt": {"size": 20000}}}], drop_unavailable=True)[name].select(*columns)
+
+    kept = """kf as (select f.*, replace(f.path, '\\', '/') p from files f left join items i on i.id = f.item_id where coalesce(f.available, true) and (f.item_id is null or coalesce(i.size > 20000, false))),
+        k as (select * from kf where starts_with(p, '/library/vol1/') and not starts_with(p, '/library/vol1/tapes/')), ki as (select id from items where id in (select item_id from k))"""
+    out["folder_update_files"] = (lambda spark, d: updated(spark, d, "files", "id", "path")), f"with {kept} select id, path from k"
+    out["folder_update_items"] = (lambda spark, d: updated(spark, d, "items", "id")), f"with {kept} select id from ki"
+    out["folder_update_texts"] = (lambda spark, d: updated(spark, d, "extracted_text", "id")), f"""
+        with {kept}, g as (select id from item_data where item_id in (select id from items where id not in (select id from ki))) select id from (select distinct * from extracted_text) where id not in (select id from g)"""
+    out["inputs_of_texts"] = (lambda spark, d: ingest.inputs(c := catalog(spark, d), c["item_data"].select(F.col("id").alias("data_id")), "extracted_text")), """
+        select e.id data_id, d.item_id, e.text from (select distinct * from extracted_text) e join item_data d on d.id = e.id and d.data_type = 'text'"""
+    out["inputs_of_frames"] = (lambda spark, d: ingest.inputs(c := catalog(spark, d), c["items"].select(F.col("id").alias("item_id")), "image_frames").withColumn("frame", F.col("frame").cast("long"))), """
+        with p as (select item_id, arg_min(path, (case when available then 0 else 1 end) * 1000000000 + id) path from files where item_id is not null group by 1)
+        select i.id item_id, f.frame::bigint frame, p.path from items i join p on p.item_id = i.id, (select unnest([0, 1, 2, 3]) frame) f where f.frame = 0 or i.type like 'video/%'"""
     snap = "sf as (select path, max(id) id from files where path is not null group by 1)"
     out["poll_changes"] = (lambda spark, d: changes.poll(_snapshot(spark, d, False), _snapshot(spark, d, True), spark.createDataFrame([("/library/vol1",)], "dir string"))), f"""
         with {snap}, o as (select path, regexp_replace(path, '/[^/]*$', '') dir, case when id % 5 <> 0 then id % 50 end size from sf where id % 9 <> 0),

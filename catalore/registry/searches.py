@@ -294,6 +294,8 @@ def registered():
     out["quant_coverage"] = (lambda spark, d: quants.coverage(_quantized(catalog(spark, d)))), f"""
         with {usual}, m as (select d.id, s.name setter from item_data d join setters s on s.id = d.setter_id where d.data_type in ('clip', 'text-embedding') and not coalesce(d.is_placeholder, false)),
         c as (select vr.id from vr join sp on sp.setter = vr.setter and sp.dim = vr.dim) select m.setter, count(*) vectors, count(c.id) coded from m left join c on c.id = m.id group by 1"""
+    out["quant_finished"] = (lambda spark, d: quants.finished(_quantized(catalog(spark, d)), 1, 1, least=400)), f"""
+        with {usual} select vr.setter, count(*) vectors, 0::bigint remaining, case when count(*) < 400 then 'pending' else 'ready' end state from vr join sp on sp.setter = vr.setter and sp.dim = vr.dim group by 1"""
     coded_query = f"list_transform({_literal(QUERY128)}, lambda x: greatest(least(round_even((x::float / (absmax::float / 127::float)::float)::double, 0), 127), -128))"
     add_vector("text_embeddings_quant", {"query": {"text_embeddings": {"query": QUERY128, "model": TEXT_MODEL, "index": "quant"}, "select_as": "dist"}, "select": [], "page_size": ALL}, f"""
         with {FILES}, {usual}, {scale}, q as ({codes.replace(f"with {usual}, {scale} ", "")}), qv as (select {coded_query} v from sc where space = '{TEXT_MODEL}'),

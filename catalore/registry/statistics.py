@@ -21,10 +21,6 @@ SCORE = f"4.0 * pow(2.0, -greatest({NOW} - last_seen, 0) / 21600.0) + frecency *
 BOARD_COLUMNS = ["id", "name", "item_count", "present_count", "version_count", "at"]
 
 
-def _first_tag(spark, d):
-    return catalog(spark, d)
-
-
 def _append(spark, d):
     c = catalog(spark, d)
     version = c["pinboards"].where("user = 'user'").select((F.col("id") * 10 + 2).alias("id"), F.col("id").alias("pinboard_id"))
@@ -129,6 +125,9 @@ def registered():
     out["board_version_added"] = _append, f"""
         with {with_sql("pinboards")} select id, case when usr = 'user' then id * 10 + 2 else head_version_id end head_version_id, case when usr = 'user' then '2026-06-30' else time_updated end time_updated from pinboards"""
     out["board_version_deleted"] = _delete, f"with {with_sql('pinboards')} select id, case when id = 1 then 10 else head_version_id end head_version_id from pinboards"
+    out["board_versions"] = on(lambda c: user.versions(c, 7)), f"""
+        with {with_sql("pinboards", "pinboard_versions", "pinboard_version_items")} select v.id, v.time_added, count(i.sha256) items, v.id in (select head_version_id from pinboards) head
+        from pinboard_versions v left join pinboard_version_items i on i.version_id = v.id where v.pinboard_id = 7 group by 1, 2"""
     out["extraction_audit"] = on(lambda c: ledgers.extraction_audit(c, error_class="input", mime_prefix="image/").select("id", "item_id", "setter", "attempts", "active", "path")), f"""
         with {with_sql("item_extraction_errors")}, p as (select item_id, arg_min(path, (case when available then 0 else 1 end) * 1000000000 + id) path from files where item_id is not null group by 1)
         select e.id, e.item_id, s.name setter, e.attempts, e.attempts >= e.skip_after active, p.path from item_extraction_errors e join setters s on s.id = e.setter_id left join p on p.item_id = e.item_id

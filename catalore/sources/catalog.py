@@ -71,3 +71,13 @@ class Catalog:
         """(data_id, item_id, setter_id, ..., text): extracted texts with their lineage."""
         made = self["item_data"].where("data_type = 'text'").select(F.col("id").alias("data_id"), "item_id", "setter_id", "idx", "source_id", "job_id")
         return self["extracted_text"].withColumnRenamed("id", "data_id").join(made, "data_id")
+
+    def save(self, folder: str, *names: str) -> None:
+        """Write tables as parquet; a table that is read from ``folder`` itself is computed before it is replaced."""
+        from catalore.plans.runtime import cut_lineage
+
+        for name in names:
+            df = self[name]
+            if folder == self.folder:
+                df = cut_lineage(df)
+            df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")

@@ -244,3 +244,17 @@ def test_foreach_batch_upsert(spark):
     for _ in range(2):  # a replay changes nothing
         sink(batch, 0)
         assert {tuple(r) for r in held["t"].collect()} == {("/a", "y", 2), ("/b", "z", 1)}
+
+
+def test_save_and_inline_codes(spark, tmp_path):
+    c = made(spark, setters=[(1, "m"), (2, "n")], vector_quant_coverage=[(5, 1, True, 0.5, 1, 1, 2, "L2", "ready")])
+    c.save(str(tmp_path), "setters")
+    again = Catalog(spark, str(tmp_path))
+    assert again["setters"].count() == 2 and again["tags"].count() == 0
+    again.but(setters=again["setters"].where("id = 1")).save(str(tmp_path), "setters")
+    assert Catalog(spark, str(tmp_path))["setters"].count() == 1
+    new = spark.createDataFrame([(1, 1, [1.0, -0.25]), (2, 2, [1.0, 1.0]), (3, 1, [1.0])], "id long, setter_id long, embedding array<float>")
+    assert [(r.id, r.quant) for r in quants.inline(new, c, 5).collect()] == [(1, [2, 0])]
+    assert quants.inline(new, c, 9).count() == 0
+    with pytest.raises(ValueError):
+        ingest.inputs(c, new.withColumn("item_id", F.lit(1)), "nope")
