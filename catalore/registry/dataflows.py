@@ -159,9 +159,9 @@ def registered():
     out["folder_update_files"] = (lambda spark, d: updated(spark, d, "files", "id", "path")), f"with {kept} select id, path from k"
     out["folder_update_items"] = (lambda spark, d: updated(spark, d, "items", "id")), f"with {kept} select id from ki"
     out["folder_update_texts"] = (lambda spark, d: updated(spark, d, "extracted_text", "id")), f"""
-        with {kept}, g as (select id from item_data where item_id in (select id from items where id not in (select id from ki))) select id from (select distinct * from extracted_text) where id not in (select id from g)"""
+        with {kept}, g as (select id from item_data where item_id in (select id from items where id not in (select id from ki))) select id from extracted_text where id not in (select id from g)"""
     out["inputs_of_texts"] = (lambda spark, d: ingest.inputs(c := catalog(spark, d), c["item_data"].select(F.col("id").alias("data_id")), "extracted_text")), """
-        select e.id data_id, d.item_id, e.text from (select distinct * from extracted_text) e join item_data d on d.id = e.id and d.data_type = 'text'"""
+        select e.id data_id, d.item_id, e.text from extracted_text e join item_data d on d.id = e.id and d.data_type = 'text'"""
     out["inputs_of_frames"] = (lambda spark, d: ingest.inputs(c := catalog(spark, d), c["items"].select(F.col("id").alias("item_id")), "image_frames").withColumn("frame", F.col("frame").cast("long"))), """
         with p as (select item_id, arg_min(path, (case when available then 0 else 1 end) * 1000000000 + id) path from files where item_id is not null group by 1)
         select i.id item_id, f.frame::bigint frame, p.path from items i join p on p.item_id = i.id, (select unnest([0, 1, 2, 3]) frame) f where f.frame = 0 or i.type like 'video/%'"""

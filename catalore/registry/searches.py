@@ -12,7 +12,7 @@ from catalore.operators.user import annotate
 from catalore.registry.derived import catalog, with_sql
 
 ALL = 0  # page size without a limit
-TEXTS = "et as (select distinct * from extracted_text)"
+TEXTS = "et as (select * from extracted_text)"
 #: Rows of a query for files and for texts, all base tables joined.
 FILES = """std as (select f.id file_id, f.item_id, f.sha256, f.path, f.filename, f.last_modified, f.available, i.type, i.size, i.width, i.height, i.duration, i.md5, i.time_added
   from files f join items i on i.id = f.item_id)"""
@@ -269,7 +269,7 @@ def registered():
         models = f"in ('{IMAGE}', 't{IMAGE}')" if args.get("clip_xmodal") else f"= '{IMAGE}'"
         value = f"{agg}(dist)" if weight is None else f"sum(dist * {weight}) / sum({weight})"
         out[name] = run, f"""
-            with {TEXTS}, {FILES}, {TARGET}, v as (select d.item_id, d.data_type, v.embedding, e.confidence c from item_data d join setters s on s.id = d.setter_id join vector_fixtures v on v.id = d.id left join et e on e.id = d.source_id
+            with {TEXTS}, {FILES}, {TARGET}, v as (select d.item_id, d.data_type, v.embedding, {"e.confidence" if weight else "null"} c from item_data d join setters s on s.id = d.setter_id join vector_fixtures v on v.id = d.id {"left join et e on e.id = d.source_id" if weight else ""}
               where s.name {models} and len(v.embedding) = 96 and list_aggregate(list_transform(v.embedding, lambda x: isnan(x)::int), 'max') = 0 and {usable}),
             pairs as (select o.item_id, {_distance(sql_metric, 'm.embedding', 'o.embedding')} dist, o.c oc, m.c mc from v o, v m where m.item_id = (select id from tgt) and o.item_id <> (select id from tgt) and {condition}),
             h as (select item_id, {value} dist from pairs group by 1)

@@ -9,7 +9,7 @@ from catalore.plans.compile import Catalog
 from catalore.registry.derived import catalog, with_sql
 
 NOW = 1700500000
-TEXTS = "et as (select distinct * from extracted_text)"
+TEXTS = "et as (select * from extracted_text)"
 KEPT = "select d.job_id, count(distinct d.id) n from item_data d where d.job_id is not null and not d.is_placeholder group by 1"
 BOARD_COUNTS = """own as (select * from pinboards where usr = 'user'),
   ic as (select version_id, count(*) n from pinboard_version_items group by 1),
