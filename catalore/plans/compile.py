@@ -30,7 +30,8 @@ class State:
     embed: Callable[[str, Any], list[float]] = _no_embedder
     metrics: dict[str, str] = field(default_factory=dict)
     orders: list[dict] = field(default_factory=list)
-    extras: list[tuple[str, DataFrame, str]] = field(default_factory=list)
+    extras: list[tuple[str, str]] = field(default_factory=list)
+    apart: list[DataFrame] = field(default_factory=list)
     uses_user_data: bool = False
     serial: int = 0
 
@@ -62,52 +63,69 @@ def base(state: State) -> DataFrame:
     return files.join(data, "item_id").select(*state.keys)
 
 
-def run(node, ctx: DataFrame, state: State) -> DataFrame:
-    """The rows of ``ctx`` that pass ``node``; ranks go to ``state``."""
+def _exact(node) -> bool:
+    """Whether a branch of an or ranks no row that it does not let through."""
+    if isinstance(node, Group):
+        return node.kind == "and" and all(isinstance(p, Match) or isinstance(p, Leaf) and p.sort is None for p in node.parts[:-1]) and _exact(node.parts[-1])
+    return True
+
+
+def run(node, ctx: DataFrame, state: State, carry: bool = True) -> DataFrame:
+    """The rows of ``ctx`` that pass ``node``; ranks go to ``state``.
+
+    Ranks travel with the rows where that is exact, so that a ranked filter is
+    computed once; elsewhere (``carry`` false) they are joined to the result.
+    """
     if isinstance(node, Group):
         if node.kind == "and":
             for part in node.parts:
-                ctx = run(part, ctx, state)
+                ctx = run(part, ctx, state, carry)
             return ctx
         if node.kind == "or":
-            found = run(node.parts[0], ctx, state)
-            for part in node.parts[1:]:
-                found = found.unionByName(run(part, ctx, state))
-            return found.distinct()
+            branches = [run(part, ctx, state, carry and _exact(part)) for part in node.parts]
+            ranked = list(dict.fromkeys(c for b in branches for c in b.columns if c not in state.keys))
+            found = branches[0]
+            for b in branches[1:]:
+                found = found.unionByName(b, allowMissingColumns=True)
+            return found.groupBy(*state.keys).agg(*[F.max(c).alias(c) for c in ranked]) if ranked else found.distinct()
         inner = State(state.catalog, state.entity, True, state.embed, state.metrics)
-        out = ctx.join(run(node.parts[0], ctx, inner), ["file_id"] + (["data_id"] if state.entity == "text" else []), "left_anti")
+        out = ctx.join(run(node.parts[0], ctx.select(*state.keys), inner), ["file_id"] + (["data_id"] if state.entity == "text" else []), "left_anti")
         state.uses_user_data |= inner.uses_user_data
         return out
     if isinstance(node, Match):
         return match(ctx, node, state)
-    return leaf(node, ctx, state)
+    return leaf(node, ctx, state, carry)
 
 
-def leaf(node: Leaf, ctx: DataFrame, state: State) -> DataFrame:
+def leaf(node: Leaf, ctx: DataFrame, state: State, carry: bool) -> DataFrame:
     """One filter with its row numbers, bounds and registrations."""
     sort = node.sort
     if node.name == "match_text" and node.args["filter_only"]:
         sort = {**sort, "order_by": False, "select_as": None, "row_n": False}
     found = FILTERS[node.name](ctx, node.args, state)
     if state.counting or sort is None:
-        return found.select(*state.keys)
-    rank = "order_rank"
+        return found.select(*ctx.columns)
     if sort["row_n"] and (sort["order_by"] or sort["select_as"]):
         tie = [F.col(k).asc() for k in state.keys if k != "item_id"]
-        found = ranks.row_numbers(found, [ranks.directed(F.col(rank), sort["row_n_direction"]), *tie], "_n").drop(rank).withColumnRenamed("_n", rank)
+        found = ranks.row_numbers(found, [ranks.directed(F.col("order_rank"), sort["row_n_direction"]), *tie], "_n").drop("order_rank").withColumnRenamed("_n", "order_rank")
     for bound, test in (("gt", F.Column.__gt__), ("lt", F.Column.__lt__)):
         if sort[bound] is not None:
-            found = found.where(test(F.col(rank), F.lit(sort[bound])))
+            found = found.where(test(F.col("order_rank"), F.lit(sort[bound])))
     name = f"_rank{state.serial}"
     state.serial += 1
-    ranked = found.withColumnRenamed(rank, name)
+    used = {"order_rank": name} if sort["order_by"] or sort["select_as"] else {}
+    if node.args.get("select_snippet_as") and "snip" in found.columns:
+        used["snip"] = f"{name}_snip"
+    ranked = found.select(*ctx.columns, *[F.col(c).alias(n) for c, n in used.items()])
+    if not carry and used:
+        state.apart.append(ranked.select(*[k for k in state.keys if k != "item_id"], *used.values()))
     if sort["order_by"]:
-        state.orders.append({"column": name, "df": ranked, "direction": sort["direction"], "priority": sort["priority"], "rrf": sort["rrf"], "time": node.name == "in_bookmarks" and not sort["row_n"]})
+        state.orders.append({"column": name, "direction": sort["direction"], "priority": sort["priority"], "rrf": sort["rrf"], "time": node.name == "in_bookmarks" and not sort["row_n"]})
     if sort["select_as"]:
-        state.extras.append((sort["select_as"], ranked, name))
-    if node.args.get("select_snippet_as") and "snip" in found.columns:
-        state.extras.append((node.args["select_snippet_as"], ranked, "snip"))
-    return found.select(*state.keys)
+        state.extras.append((sort["select_as"], name))
+    if "snip" in used:
+        state.extras.append((node.args["select_snippet_as"], used["snip"]))
+    return ranked if carry else found.select(*ctx.columns)
 
 
 def _filtered(q: Query, state: State) -> DataFrame:
@@ -126,17 +144,8 @@ def rows(q: Query, state: State) -> tuple[DataFrame, list[tuple[str, Column, str
     std = _filtered(q, state)
     wanted = set(q.select) | {o["order_by"] for o in q.order_by if o["order_by"] != "random"} | set(q.partition_by or [])
     df = _joined(std, wanted, state)
-    on = [k for k in state.keys if k != "item_id"]
-    held = {}
-    for o in state.orders:
-        held.setdefault(o["column"], (o["df"], [o["column"]]))
-    for alias, ranked, column in state.extras:
-        name = column if column != "snip" else next(c for c in ranked.columns if c.startswith("_rank"))
-        old = held.get(name, (ranked, []))
-        held[name] = (ranked, list(dict.fromkeys([*old[1], column])))
-    for ranked, columns in held.values():
-        side = ranked.select(*on, *[F.col(c).alias(c if c.startswith("_rank") else f"{next(x for x in ranked.columns if x.startswith('_rank'))}_snip") for c in columns])
-        df = df.join(side, on, "left")
+    for side in state.apart:
+        df = df.join(side, [k for k in state.keys if k != "item_id"], "left")
     keys: list[tuple[str, Column, str]] = []
     for i, group in enumerate(ranks.merge(state.orders, q.order_by)):
         if "column" in group[0]:
@@ -169,11 +178,7 @@ def _page(q: Query, df: DataFrame, keys, state: State) -> DataFrame:
     if q.partition_by:
         first = F.row_number().over(Window.partitionBy(*q.partition_by).orderBy(*order))
         df = df.withColumn("_first", first).where("_first = 1")
-    extra = []
-    for alias, ranked, column in state.extras:
-        rank = next(c for c in ranked.columns if c.startswith("_rank"))
-        if alias:
-            extra.append(F.col(column if column != "snip" else f"{rank}_snip").alias(alias))
+    extra = [F.col(column).alias(alias) for alias, column in state.extras if alias]
     shown = list(dict.fromkeys([*state.keys, *q.select]))
     df = df.orderBy(*order)
     if q.page_size >= 1:

@@ -1,6 +1,6 @@
 """The leaf filters: each narrows a context of row keys and may rank it.
 
-A filter takes ``(context, args, state)`` and returns the context's keys that
+A filter takes ``(context, args, state)`` and returns the context's rows that
 pass, each once, with ``order_rank`` where it ranks and ``snip`` where a snippet
 is wanted. Vectors and texts stay out of shuffles: distances and ranks are
 computed before grouping and the payload is dropped.
@@ -52,7 +52,7 @@ def match(ctx: DataFrame, node: Match, state) -> DataFrame:
         raise QueryError(f"match of a query for files has text columns: {sorted(wrong)}")
     std = {n for n in names if COLUMNS[n][0] == "std"}
     joined = with_columns(ctx, names - std, state, prefix="m_")
-    return joined.where(condition(node, lambda n: F.col(n if n in std else f"m_{n}"))).select(*state.keys)
+    return joined.where(condition(node, lambda n: F.col(n if n in std else f"m_{n}"))).select(*ctx.columns)
 
 
 def _tree(args):
@@ -67,7 +67,7 @@ def match_path(ctx: DataFrame, args: dict, state) -> DataFrame:
         hits = corpus.where(fts.matches(_tree(args), [F.col(c) for c in searched])).select("file_id")
         return ctx.join(hits, "file_id", "left_semi")
     hits = fts.bm25(corpus, _tree(args), searched, ["path", "filename"]).select("file_id", F.col("rank").alias("order_rank"))
-    return ctx.join(hits, "file_id").select(*state.keys, "order_rank")
+    return ctx.join(hits, "file_id").select(*ctx.columns, "order_rank")
 
 
 def _text_criteria(args: dict, setters: str = "setters") -> Column:
@@ -112,10 +112,10 @@ def match_text(ctx: DataFrame, args: dict, state) -> DataFrame:
         found = ctx.join(rows, on, "left_semi")
         return found if state.counting else found.withColumn("order_rank", F.lit(1.0))
     if on == "data_id":
-        return ctx.join(rows.drop("item_id"), "data_id").select(*state.keys, F.col("rank").alias("order_rank"), *(["snip"] if snip is not None else []))
+        return ctx.join(rows.drop("item_id"), "data_id").select(*ctx.columns, F.col("rank").alias("order_rank"), *(["snip"] if snip is not None else []))
     best = [F.min("rank").alias("order_rank")] + ([F.min_by("snip", F.struct("rank", "data_id")).alias("snip")] if snip is not None else [])
     # one row per item before it meets the files
-    return ctx.join(rows.groupBy("item_id").agg(*best), "item_id").select(*state.keys, "order_rank", *(["snip"] if snip is not None else []))
+    return ctx.join(rows.groupBy("item_id").agg(*best), "item_id").select(*ctx.columns, "order_rank", *(["snip"] if snip is not None else []))
 
 
 def match_tags(ctx: DataFrame, args: dict, state) -> DataFrame:
@@ -142,7 +142,7 @@ def match_tags(ctx: DataFrame, args: dict, state) -> DataFrame:
         each = each.where(F.col("_pairs") == tags * len(args["setters"]) if by_setter else F.col("_tags") == tags)
     if state.counting:
         return ctx.join(each, "item_id", "left_semi")
-    return ctx.join(each.select("item_id", "order_rank"), "item_id").select(*state.keys, "order_rank")
+    return ctx.join(each.select("item_id", "order_rank"), "item_id").select(*ctx.columns, "order_rank")
 
 
 def in_bookmarks(ctx: DataFrame, args: dict, state) -> DataFrame:
@@ -159,7 +159,7 @@ def in_bookmarks(ctx: DataFrame, args: dict, state) -> DataFrame:
     best = marks.groupBy("sha256").agg(F.max("time_added").alias("order_rank"))
     files = state.catalog["files"].select(F.col("id").alias("file_id"), "sha256")
     hits = files.join(best, "sha256").select("file_id", "order_rank")
-    return ctx.join(hits, "file_id", "left_semi") if state.counting else ctx.join(hits, "file_id").select(*state.keys, "order_rank")
+    return ctx.join(hits, "file_id", "left_semi") if state.counting else ctx.join(hits, "file_id").select(*ctx.columns, "order_rank")
 
 
 def in_pinboard(ctx: DataFrame, args: dict, state) -> DataFrame:
@@ -282,7 +282,7 @@ def _semantic(ctx: DataFrame, args: dict, state, models: list[str], metric: str,
     query = _coded(_query_vector(args, state), step)
     near = vec.withColumn("d", vectors.distance_to(F.col("vec"), query, metric)).drop("vec")
     each = near.groupBy(*on).agg(_aggregate(args["distance_aggregation"], F.col("d"), _weight(args["src_text"], "")).alias("order_rank"))
-    return ctx.join(each, on).select(*state.keys, "order_rank")
+    return ctx.join(each, on).select(*ctx.columns, "order_rank")
 
 
 def text_embeddings(ctx: DataFrame, args: dict, state) -> DataFrame:
@@ -308,7 +308,7 @@ def similar_to(ctx: DataFrame, args: dict, state) -> DataFrame:
         held = cat["embeddings"].select(F.col("id").alias("vec_id"))
         some = rows.join(target, "item_id", "left_semi").join(held, "vec_id", "left_semi").limit(1).select(F.lit(True).alias("_some"))
         mine = others.join(held, "vec_id", "left_semi").select("item_id")
-        return ctx.join(mine, "item_id", "left_semi").crossJoin(F.broadcast(some)).select(*state.keys)
+        return ctx.join(mine, "item_id", "left_semi").crossJoin(F.broadcast(some)).select(*ctx.columns)
     metric = args["force_distance_function"] or state.metrics.get(args["model"]) or state.metrics.get(args["model"].split("/")[0]) or args["distance_function"]
     metric = vectors.COSINE if str(metric).lower() == "cosine" else vectors.L2
     vec, _ = _payload(rows, args, state, models)
@@ -323,7 +323,7 @@ def similar_to(ctx: DataFrame, args: dict, state) -> DataFrame:
                 pairs = pairs.where((F.col("t_data_type") != kind) | (F.col("data_type") != kind))
     near = pairs.withColumn("d", vectors.distance(F.col("t_vec"), F.col("vec"), metric)).drop("vec", "t_vec")
     each = near.groupBy("item_id").agg(_aggregate(args["distance_aggregation"], F.col("d"), _weight(src, "", "t_")).alias("order_rank"))
-    return ctx.join(each, "item_id").select(*state.keys, "order_rank")
+    return ctx.join(each, "item_id").select(*ctx.columns, "order_rank")
 
 
 FILTERS = {f.__name__: f for f in (match_path, match_text, match_tags, in_bookmarks, in_pinboard, processed_by, has_data_unprocessed, failed_for, text_embeddings, image_embeddings, similar_to)}

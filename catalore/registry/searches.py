@@ -214,6 +214,11 @@ def registered():
     add("ranked_and", {"query": {"and_": [{"match": {"startswith": {"type": "image/"}}}, {"match_path": {"match": "lantern"}, "row_n": True, "order_by": True, "select_as": "n"}]}, "select": [], "page_size": ALL}, f"""
         with {FILES}, p0 as ({path_rank}) select std.file_id, std.item_id, row_number() over (order by rank, std.file_id) n from std join p0 using (file_id) where type like 'image/%'""")
 
+    add("ranked_branch", {"query": {"or_": [{"and_": [{"match_path": {"match": "lantern"}, "row_n": True, "order_by": True, "select_as": "n"}, {"match": {"startswith": {"type": "image/"}}}]}, {"match": {"gt": {"size": 100000}}}]}, "select": [], "page_size": ALL}, f"""
+        {ranked} select std.file_id, std.item_id, p.n from std left join p on p.file_id = std.file_id where (p.n is not null and type like 'image/%') or size > 100000""")
+    add("ranked_then_narrowed", {"query": {"and_": [{"match_path": {"match": "lantern"}, "row_n": True, "order_by": True, "select_as": "n"}, {"or_": [{"match_tags": {"tags": ["photo"]}, "select_as": "conf"}, {"match": {"startswith": {"type": "image/"}}}]}]}, "select": [], "page_size": ALL}, f"""
+        {ranked}, h as ({tagged} t.name = 'photo' group by 1) select std.file_id, std.item_id, p.n, round(h.conf, 6) conf from p join std on std.file_id = p.file_id left join h on h.item_id = std.item_id where h.item_id is not null or type like 'image/%'""", ["conf"])
+
     def sorted_set(spark, d):
         df, _ = item_set(catalog(spark, d), {"query": {"match": {"startswith": {"type": "image/"}}}, "order_by": [{"order_by": "size"}]})
         return df
