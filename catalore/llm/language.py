@@ -56,7 +56,7 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?…。！？][\s\"'”’»)\]]*(\s[–—-])?\s*$")
 #: Words from which a part without final punctuation is a sentence, not a title.
-UNPUNCTUATED_WORDS = 7
+UNPUNCTUATED_WORDS = 8
 
 
 def fold(text: str) -> str:
