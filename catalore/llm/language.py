@@ -24,7 +24,7 @@ SAMPLE_TEXTS = 250
 #: Sentences of one text that the fit looks at, at most.
 SAMPLE_PARTS = 24
 #: Bytes of one dictionary.
-DICTIONARY_BYTES = 48 << 10
+DICTIONARY_BYTES = 64 << 10
 #: Bytes by which the best size must undercut the second for a part to count.
 MARGIN = 3
 
@@ -60,10 +60,13 @@ UNPUNCTUATED_WORDS = 8
 
 
 def fold(text: str) -> str:
-    """Lower case without accents and digits, so that spelling habits don't count."""
-    plain = unicodedata.normalize("NFKD", text.lower())
-    plain = "".join(c for c in plain if not unicodedata.combining(c))
-    return " ".join(_WORD.findall(plain))
+    """Words alone, in lower case, so that layout and numbers don't count."""
+    return " ".join(_WORD.findall(unicodedata.normalize("NFKC", text.lower())))
+
+
+def bald(folded: str) -> str:
+    """Without accents, as some transcribers write."""
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", folded) if not unicodedata.combining(c)))
 
 
 def _words(text: str) -> int:
@@ -155,13 +158,15 @@ class Classifier:
         self._known[text] = got
         return got
 
-    def novel(self, text: str) -> bool:
-        """Whether no dictionary shortens a text much."""
-        return self.best(text)[0] is None and min(self.sizes(text)) > 0.85 * len(text.encode())
+    def backs(self, sentences: list[str], lang: str) -> bool:
+        """Whether no dictionary shortens the sentences together more than that of ``lang``, or none does much."""
+        total = np.sum([self.sizes(s) for s in sentences], axis=0)
+        size = sum(len(s.encode()) for s in sentences)
+        return lang in self.codes and (total[self.codes.index(lang)] == total.min() or total.min() > 0.85 * size)
 
 
 def _dictionary(sentences: list[str], limit: int = DICTIONARY_BYTES) -> bytes:
-    """The sentences that add most unseen word pairs, up to ``limit`` bytes."""
+    """The sentences that add most unseen word pairs, with and without accents, up to ``limit`` bytes."""
     seen: set[tuple[str, str]] = set()
     kept, size = [], 0
     for wanted in (0.6, 0.3, 0.05):
@@ -171,20 +176,21 @@ def _dictionary(sentences: list[str], limit: int = DICTIONARY_BYTES) -> bytes:
             if pairs and len(pairs - seen) >= wanted * len(pairs):
                 seen |= pairs
                 kept.append(s)
-                size += len(s.encode()) + 1
+                size += len(s.encode()) + 1 + (len(bare_form.encode()) + 1 if (bare_form := bald(s)) != s else 0)
                 if size >= limit:
                     break
         if size >= limit:
             break
-    return "\n".join(reversed(kept)).encode()[-limit:]
+    kept.reverse()
+    return "\n".join([b for s in kept if (b := bald(s)) != s] + kept).encode()[-limit:]
 
 
 def fit(texts: DataFrame, sample: int = SAMPLE_TEXTS, rounds: int = 3) -> Classifier:
     """Dictionaries from about ``sample`` labelled texts of each language that has at least 3.
 
     Wrong labels: the sample is split in halves, each half is classified with
-    the other's dictionaries, and only sentences that get their label back, or
-    that no dictionary knows anything of, go into the next round's.
+    the other's dictionaries, and only texts that get their label back as a
+    whole go into the next round's, without sentences of another language.
     """
     labelled = texts.select("id", "text", code(F.col("language")).alias("lang")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -192,20 +198,18 @@ def fit(texts: DataFrame, sample: int = SAMPLE_TEXTS, rounds: int = 3) -> Classi
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) < share * float(1 << 30)
-    halves: list[dict[str, list[str]]] = [{}, {}]
+    halves: list[dict[str, list[list[str]]]] = [{}, {}]
     for r in labelled.where(draw).orderBy("id", "text").collect():
-        own = halves[hash_bit(r["text"])].setdefault(r["lang"], [])
-        for a, b in parts(r["text"])[:SAMPLE_PARTS]:
-            s = fold(bare(r["text"][a:b]))
-            if len(s) >= 12:
-                own.append(s)
+        own = [s for a, b in parts(r["text"])[:SAMPLE_PARTS] if len(s := fold(bare(r["text"][a:b]))) >= 12]
+        if own:
+            halves[hash_bit(r["text"])].setdefault(r["lang"], []).append(own)
     langs = sorted(k for k in set(halves[0]) & set(halves[1]) if counts[k] >= 3)
-    kept = [{k: h[k] for k in langs} for h in halves]
+    kept = [{k: [s for t in h[k] for s in t] for k in langs} for h in halves]
     for _ in range(rounds):
         made = [Classifier({k: d for k in langs if (d := _dictionary(h[k]))}) for h in kept]
         if min(len(m.codes) for m in made) < 2:
             break
-        kept = [{k: [s for s in h[k] if other.best(s)[0] == k or other.novel(s)] for k in langs} for h, other in zip(halves, reversed(made))]
+        kept = [{k: [s for t in h[k] if other.backs(t, k) for s in t if other.backs([s], k)] for k in langs} for h, other in zip(halves, reversed(made))]
     both = {k: [s for pair in zip_longest(kept[0][k], kept[1][k]) for s in pair if s] for k in langs}
     return Classifier({k: d for k in langs if (d := _dictionary(both[k]))})
 
