@@ -28,19 +28,21 @@ from catalore.plans.runtime import cut_lineage
 VOCABULARY = 20_000
 #: A neighbour is this often as frequent as the rare word at least, and occurs LEAST times.
 TIMES, LEAST = 6, 4
+#: The same for words of two letters.
+SHORT_TIMES = 1000
 #: Cosine between the context and the neighbour from which a link is followed.
 AGREE = -0.4
 
 #: Glyphs (groups) that print alike, each rewritten to the right side, in this order.
 GLYPHS = (("@", "a"), ("0", "o"), ("†", "t"), ("5", "s"), ("$", "s"), ("9", "g"), ("8", "b"), ("6", "b"), ("h", "b"), ("e", "c"), ("d", "cl"), ("m", "rn"), ("n", "ri"), ("u", "ii"), ("1", "l"), ("|", "l"), ("i", "l"))
 #: Single misreadings (read, printed); i and l count double.
-MISREAD = (("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("ri", "n"), ("n", "ri"), ("ii", "u"), ("u", "ii"), ("c", "e"), ("e", "c"), ("h", "b"), ("b", "h"), ("1", "l"), ("1", "i"), ("|", "l"), ("|", "i"), ("0", "o"), ("5", "s"), ("$", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("@", "a"), ("†", "t"), ("i", "l"), ("l", "i"))
+MISREAD = (("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("ri", "n"), ("n", "ri"), ("ii", "u"), ("u", "ii"), ("c", "e"), ("e", "c"), ("h", "b"), ("b", "h"), ("1", "l"), ("1", "i"), ("|", "l"), ("|", "i"), ("0", "o"), ("5", "s"), ("$", "s"), ("6", "b"), ("6", "e"), ("6", "o"), ("8", "b"), ("9", "g"), ("@", "a"), ("†", "t"), ("i", "l"), ("l", "i"))
 #: Words for page before a page number.
 PAGE_WORDS = "page|seite|página|pagina|strona|bladzijde|blz|sida|pág|pag|str|p|s|с|стр|страница|ページ|頁"
 
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑¬\xad][ \t]*\n\s*(?=[^\W\d_])")
 _BREAK_END = re.compile(r"[^\W\d_][-‐‑¬\xad]\s*$")
-_TOKEN = re.compile(r"[^\W_](?:[\w@†$´|]|['’](?=\w))*|[@†$](?:[\w@†$´|])+")
+_TOKEN = re.compile(r"[^\W_](?:[\w@†$´|]|['’](?=[\w@†$]))*|[@†$](?:[\w@†$´|])+")
 _ODD = re.compile(r"[@†$´|\d]")
 _ROMAN = re.compile(r"^(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$", re.I)
 _NUMBER = r"(?P<n>\d{1,4}|[ivxlcIVXLC]{1,8})"
@@ -157,6 +159,12 @@ def _skeleton(words: pd.Series) -> pd.Series:
     return words.map(skeleton)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _skeletons(words: pd.Series) -> pd.Series:
+    """All skeletons of a word; a 6 may stand for three letters."""
+    return words.map(lambda w: sorted({skeleton(w.replace("6", c)) for c in "6eo"}))
+
+
 @F.pandas_udf(BooleanType())
 def _plausible(read: pd.Series, printed: pd.Series) -> pd.Series:
     return pd.Series([plausible(a, b) for a, b in zip(read, printed)], dtype=bool)
@@ -174,8 +182,12 @@ class Repair:
         self._vectors(words, vocabulary)
         self.words = words
         sound = words.where((F.col("n") >= least) & ~F.col("word").rlike(r"[@†$´|\d]")).select("skeleton", F.col("word").alias("neighbour"), F.col("n").alias("often"))
-        rare = words.where(F.length("word") >= 3).select("skeleton", "word", "n")
+        # two letters are a misread word only if they look it, or against an overwhelming neighbour
+        # a number is no word
+        rare = words.where((F.length("word") >= 2) & F.col("word").rlike(r"\p{L}")).select(F.explode(_skeletons("word")).alias("skeleton"), "word", "n")
         self.links = rare.join(sound, "skeleton").where((F.col("word") != F.col("neighbour")) & (F.col("often") >= times * F.col("n"))).where(_plausible("word", "neighbour"))
+        sure = (F.length("word") >= 3) | F.col("word").rlike(r"[@†$´|\d]") | ((F.col("often") >= SHORT_TIMES * F.col("n")) & ~F.col("word").rlike("^[ivxlc]+$"))
+        self.links = self.links.where(sure)
 
     def _vectors(self, words: DataFrame, vocabulary: int) -> None:
         cut = words.orderBy(F.desc("n"), "word").offset(vocabulary).limit(1).collect()

@@ -61,3 +61,9 @@ def test_page_numbers():
 def test_reflow_keeps_lists_and_headings():
     text = ["A Heading", "", "One long line of text that goes on to the very", "end of it. And more of", "Entry ..... 5", "Entry ..... 9"]
     assert ocr.reflow(text) == "A Heading\n\nOne long line of text that goes on to the very end of it. And more of\nEntry ..... 5\nEntry ..... 9"
+
+
+def test_numbers_are_no_misread_words(spark):
+    body = [f"The archivist keeps los ({i}05) and 105 labels of {i}." for i in range(1, 5)]
+    texts = [(i, 1, 0, page(i, body, header=None, number=False)) for i in range(10)]
+    assert all(not r.kinds for r in ocr.p4_pages(*tables(spark, texts)).collect())
