@@ -36,7 +36,7 @@ AGGREGATED = f"""{FRAMES}, bs as (select item_id, namespace, name, max(score) s
 
 def _texts(spark, d):
     docs = table(spark, d, "documents")
-    return docs.where("item_id is not null").select("item_id", F.col("doc_id").alias("idx"), F.concat(F.lit("  "), F.substring("text", 1, 12)).alias("text"))
+    return docs.where("item_id is not null").select("item_id", F.col("doc_id").alias("idx"), F.concat(F.lit("  "), F.col("text")).alias("text"))
 
 
 def _listing(spark, d):
