@@ -1,10 +1,10 @@
 """Problem 4: page texts of scanned items repaired into continuous paragraphs.
 
-Skip-gram vectors (Spark's Word2Vec) are learnt over all page texts with a
-vocabulary of at most ``VOCABULARY`` words. Words are linked by glyph skeleton:
-two words that could be printed alike (rn and m, cl and d, 0 and o ...) share
-one, so a rare word meets its frequent neighbours in one equi-join. A link is
-followed where the word's context agrees with the neighbour's vector. Page
+Skip-gram vectors (Spark's Word2Vec) are learnt over all page texts for every
+word that occurs ``LEAST`` times. Words are linked by glyph skeleton: two words
+that could be printed alike (rn and m, cl and d, 0 and o ...) share one, so a
+rare word meets its frequent neighbours in one equi-join. A link is followed
+where the word's context agrees with the neighbour's vector. Page
 furniture is what repeats over an item's pages: running headers by the skeleton
 of their line, page numbers by a constant distance to the page's position.
 Last, broken words and wrapped lines are joined.
@@ -24,14 +24,13 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from catalore.plans.runtime import cut_lineage
 
-#: Words that get a vector, at most.
-VOCABULARY = 20_000
 #: A neighbour is this often as frequent as the rare word at least, and occurs LEAST times.
 TIMES, LEAST = 6, 4
 #: The same for words of two letters.
 SHORT_TIMES = 1000
-#: Cosine between the context and the neighbour from which a link is followed.
-AGREE = -0.4
+#: Cosine between the context and the neighbour from which a link is followed;
+#: most frequent words drawn at random are below it, hardly any that stand there.
+AGREE = 0.15
 
 #: Glyphs (groups) that print alike, each rewritten to the right side, in this order.
 GLYPHS = (("@", "a"), ("0", "o"), ("†", "t"), ("5", "s"), ("$", "s"), ("9", "g"), ("8", "b"), ("6", "b"), ("h", "b"), ("e", "c"), ("d", "cl"), ("m", "rn"), ("n", "ri"), ("u", "ii"), ("1", "l"), ("|", "l"), ("i", "l"))
@@ -173,13 +172,13 @@ def _plausible(read: pd.Series, printed: pd.Series) -> pd.Series:
 class Repair:
     """Fits vectors, links and furniture over all pages; ``pages()`` gives the repaired texts."""
 
-    def __init__(self, pages: DataFrame, vocabulary: int = VOCABULARY, times: float = TIMES, least: int = LEAST, agree: float = AGREE):
+    def __init__(self, pages: DataFrame, times: float = TIMES, least: int = LEAST, agree: float = AGREE):
         self.spark = pages.sparkSession
         self.agree = agree
         self.source = cut_lineage(pages.withColumn("tokens", _tokens("text")))
         words = self.source.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         words = cut_lineage(words.where(F.length("word") <= 60).withColumn("skeleton", _skeleton("word")))
-        self._vectors(words, vocabulary)
+        self._vectors(words, least)
         self.words = words
         sound = words.where((F.col("n") >= least) & ~F.col("word").rlike(r"[@†$´|\d]")).select("skeleton", F.col("word").alias("neighbour"), F.col("n").alias("often"))
         # two letters are a misread word only if they look it, or against an overwhelming neighbour
@@ -189,9 +188,8 @@ class Repair:
         sure = (F.length("word") >= 3) | F.col("word").rlike(r"[@†$´|\d]") | ((F.col("often") >= SHORT_TIMES * F.col("n")) & ~F.col("word").rlike("^[ivxlc]+$"))
         self.links = self.links.where(sure)
 
-    def _vectors(self, words: DataFrame, vocabulary: int) -> None:
-        cut = words.orderBy(F.desc("n"), "word").offset(vocabulary).limit(1).collect()
-        least = max(2, cut[0]["n"] + 1 if cut else 2)
+    def _vectors(self, words: DataFrame, least: int) -> None:
+        """Vectors of all words that can be a neighbour."""
         self.vectors: dict[str, np.ndarray] = {}
         if words.where(F.col("n") >= least).limit(2).count() < 2:
             return

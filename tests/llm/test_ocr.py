@@ -1,3 +1,5 @@
+import numpy as np
+
 from catalore.llm import ocr
 
 SENTENCES = ["The archivist describes the winter album near the window", "Every visitor compares the longest recording with great patience", "The museum keeps the handwritten labels in the cellar", "A volunteer will replace the camera before the next scan"]
@@ -67,3 +69,16 @@ def test_numbers_are_no_misread_words(spark):
     body = [f"The archivist keeps los ({i}05) and 105 labels of {i}." for i in range(1, 5)]
     texts = [(i, 1, 0, page(i, body, header=None, number=False)) for i in range(10)]
     assert all(not r.kinds for r in ocr.p4_pages(*tables(spark, texts)).collect())
+
+
+def test_context_decides():
+    vectors = {w: np.array(v, dtype=np.float32) for w, v in {"modern": (1, 0), "house": (0.9, 0.4), "street": (0.8, 0.6), "cable": (0, 1), "plug": (-0.1, 1)}.items()}
+    links = [{"word": "modem", "neighbour": "modern", "n": 2, "often": 400}]
+    assert ocr.corrections("house modem street", links, vectors, ocr.AGREE) == {(6, 11): "modern"}
+    assert ocr.corrections("cable modem plug", links, vectors, ocr.AGREE) == {}
+
+
+def test_every_neighbour_has_a_vector(spark):
+    names = ["".join("abcdefghij"[int(c)] for c in f"{i:05d}") for i in range(20_100)]
+    texts = [(1, 1, k, " ".join(names[at : at + 300])) for k in range(ocr.LEAST) for at in range(0, len(names), 300)]
+    assert set(ocr.Repair(ocr.pages_of(*tables(spark, texts))).vectors) == set(names)
