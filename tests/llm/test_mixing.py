@@ -1,5 +1,6 @@
 from collections import Counter
 
+from catalore.llm import mixing
 from catalore.llm.mixing import mix, p7_found, segments, shares
 
 DOCS = "doc_id long, text string, source string, n_tokens long, key string"
@@ -42,3 +43,10 @@ def test_repeated_rows_and_empty(spark):
 def test_segments_integrate_to_one():
     s = segments((0.5, 1.5, 0.5))
     assert s[0][4] == 0 and s[-1][5] == 1 and abs(sum((a[2] + a[3]) / 2 * (a[1] - a[0]) for a in s) - 1) < 1e-12
+
+
+def test_found_comes_from_the_mix(spark, monkeypatch):
+    docs, targets = tables(spark)
+    whole = mixing._mixed
+    monkeypatch.setattr(mixing, "_mixed", lambda *args, **more: whole(*args, **more).where("source <> 'alpha'"))
+    assert sorted(r.source for r in p7_found(docs, targets).collect()) == ["alpha", "delta"]
