@@ -17,6 +17,8 @@ from pyspark.sql.types import StringType
 
 #: Half-lives that one bucket of votes spans.
 SPAN = 64
+#: Half-life of a vote in ``p3_survivors``: a year.
+HALF_LIFE_S = 365 * 86_400.0
 #: Times are real from 1990 up to the export.
 EARLIEST, LATEST = "1990-01-01T00:00:00Z", "2026-06-30T23:59:59.999999Z"
 
@@ -100,10 +102,10 @@ def survivors(records: DataFrame, key: Column, fields: dict[str, Column], at: Co
     return by_value.groupBy(F.col("_key").alias("key")).agg(*whole, *best)
 
 
-def file_survivors(files: DataFrame, half_life_s: float = 1e-3) -> DataFrame:
-    """One row per file of ``files``: place, first_id, records, sha256, last_modified, filename.
+def file_survivors(files: DataFrame, half_life_s: float = 1e-3, with_path: bool = False) -> DataFrame:
+    """One row per file of ``files``: place, first_id, records, sha256, last_modified, filename, path (if wanted).
 
-    With the default half-life of a millisecond the newest record decides each
+    Each path votes in normal form, so all records of a file agree on it. With the default half-life of a millisecond the newest record decides each
     field and older ones only break ties; a longer one lets agreeing records
     outvote a newer one. A record marked available is trusted a little more.
     """
@@ -113,6 +115,8 @@ def file_survivors(files: DataFrame, half_life_s: float = 1e-3) -> DataFrame:
         "last_modified": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         "filename": F.element_at(F.split(F.col("_place"), "/"), -1),
     }
+    if with_path:
+        fields["path"] = F.col("_place")
     located = files.withColumn("_place", place(F.col("path")))
     trust = F.when(F.col("available"), 1.0).otherwise(0.999)
     return survivors(located, F.col("_place"), fields, at, trust, half_life_s)
@@ -124,5 +128,5 @@ def p3_found(files: DataFrame) -> DataFrame:
 
 
 def p3_survivors(files: DataFrame) -> DataFrame:
-    """The surviving record of every file."""
-    return file_survivors(files)
+    """The surviving record of every file; agreeing records may outvote a newer one."""
+    return file_survivors(files, HALF_LIFE_S, with_path=True)

@@ -1,4 +1,4 @@
-from catalore.llm.survivor import file_survivors, moment, p3_found, place, survivors, whole_hash
+from catalore.llm.survivor import file_survivors, moment, p3_found, p3_survivors, place, survivors, whole_hash
 from pyspark.sql import functions as F
 
 FILES = "id long, sha256 string, item_id long, path string, filename string, last_modified string, scan_id long, available boolean, field string, value string, records long"
@@ -56,3 +56,12 @@ def test_agreement_outvotes_with_a_long_half_life(spark):
     rows = spark.createDataFrame([(1, "k", "old", "2020-01-01"), (2, "k", "old", "2020-01-02"), (3, "k", "new", "2020-01-03"), (4, None, "x", "2020-01-03")], "id long, k string, v string, t string")
     pick = lambda half: [r.v for r in survivors(rows, F.col("k"), {"v": F.col("v")}, F.to_timestamp("t"), F.lit(1.0), half).collect()]
     assert pick(1e-3) == ["new"] and pick(1e9) == ["old"]
+
+
+def test_survivors_are_voted(spark):
+    a, b = "ab" * 32, "cd" * 32
+    rows = [(i, h, 1, p, None, f"2020-01-0{i}T00:00:00Z", 1, True) for i, h, p in ((1, a, "/x/one.jpg"), (2, a, "\\x\\one.jpg"), (3, b, "/x/./one.jpg"))]
+    assert [(r.sha256, r.path) for r in p3_survivors(files(spark, rows)).collect()] == [(a, "/x/one.jpg")]
+    late = [(4, b, 1, "/x/one.jpg", None, "2026-01-01T00:00:00Z", 1, True)]
+    assert [r.sha256 for r in p3_survivors(files(spark, rows[:2] + late)).collect()] == [b]
+    assert [r.sha256 for r in p3_found(files(spark, rows)).collect()] == [b]
