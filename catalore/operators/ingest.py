@@ -9,6 +9,7 @@ from catalore.functions.text import starts_in
 from catalore.plans.compile import base, run, search, State
 from catalore.plans.match import scanned
 from catalore.plans.model import Group, Leaf, Match, element, prune
+from catalore.plans.runtime import cut_lineage
 from catalore.sources.catalog import Catalog
 
 
@@ -129,21 +130,24 @@ def orphan_tags(cat: Catalog) -> DataFrame:
     return cat["tags"].join(cat["tags_items"].select(F.col("tag_id").alias("id")), "id", "left_anti")
 
 
-def cascade(cat: Catalog, items: DataFrame | None = None, data: DataFrame | None = None, depth: int = 4) -> Catalog:
+def cascade(cat: Catalog, items: DataFrame | None = None, data: DataFrame | None = None) -> Catalog:
     """The catalogue without some items (id) or data rows (id) and all that hangs on them.
 
-    Data derived from deleted data goes too, along source_id, ``depth`` steps at
-    most (tags, text, vectors: three).
+    Data derived from deleted data goes too, along source_id, until nothing more
+    is found; rows derived from each other end it, too.
     """
     rows = cat["item_data"].select("id", "item_id", "source_id")
     gone = rows.join(items.select(F.col("id").alias("item_id")), "item_id", "left_semi").select("id") if items is not None else rows.limit(0).select("id")
     if data is not None:
         gone = gone.unionByName(data.select("id"))
-    frontier = gone
-    for _ in range(depth - 1):
-        frontier = rows.join(frontier.select(F.col("id").alias("source_id")), "source_id", "left_semi").select("id")
+    derived = rows.where("source_id is not null")
+    frontier = gone = cut_lineage(gone.distinct())
+    while True:
+        frontier = derived.join(frontier.select(F.col("id").alias("source_id")), "source_id", "left_semi").select("id").distinct()
+        frontier = cut_lineage(frontier.join(gone, "id", "left_anti"))
+        if frontier.isEmpty():
+            break
         gone = gone.unionByName(frontier)
-    gone = gone.distinct()
     out = {
         "item_data": cat["item_data"].join(gone, "id", "left_anti"),
         "extracted_text": cat["extracted_text"].join(gone, "id", "left_anti"),

@@ -2,7 +2,9 @@
 
 import pytest
 
+from catalore.operators import ingest
 from catalore.registry import registered
+from catalore.sources.catalog import Catalog
 
 ROWS = [
     (1, 7, "A long opening, then one end"), (2, 7, "A long opening, then another"), (3, 7, "a LONG opening, then one end "),
@@ -26,3 +28,12 @@ def test_whole_texts_are_compared(spark, folder):
     assert rows(spark, folder, "clean_texts", "item_id", "idx", "text") == [(7, 1, ROWS[0][2]), (7, 2, ROWS[1][2]), (8, 4, "late words")]
     assert rows(spark, folder, "item_data_rows", "id", "item_id", "idx", "source_id") == [(5000, 7, 1, 1), (5001, 7, 2, 2), (5002, 8, 4, 4)]
     assert [r for r in rows(spark, folder, "placeholders", "item_id", "is_placeholder") if r[1]] == [(9, True)]
+
+
+def test_deletion_follows_sources_to_the_end(spark):
+    chain = [(1, 7, None), *[(i, 8, i - 1) for i in range(2, 9)], (20, 8, 21), (21, 8, 20), (22, 8, 20), (30, 8, None), (31, 8, 30)]
+    data = spark.createDataFrame(chain, "id long, item_id long, source_id long")
+    c = Catalog(spark).but(item_data=data)
+    gone = spark.createDataFrame([(1,), (20,)], "id long")
+    assert sorted(r.id for r in ingest.cascade(c, data=gone)["item_data"].collect()) == [30, 31]
+    assert 8 not in {r.id for r in ingest.cascade(c, items=spark.createDataFrame([(7,)], "id long"))["item_data"].collect()}
