@@ -85,10 +85,10 @@ def registered():
         select item_id, 0::bigint idx, string_agg(name, ', ' order by "at") "text", 'danbooru' as language, round(min(confidence), 6) confidence from ag group by 1
         union all select ag.item_id, 1::bigint, coalesce(string_agg(name, ', ' order by "at") filter (where namespace <> 'general' or confidence >= m), ''), 'danbooru-mcut', round(max(m), 6) from ag join mc using (item_id) group by ag.item_id"""
     out["clean_texts"] = (lambda spark, d: outputs.clean_texts(_texts(spark, d))), """
-        with t as (select item_id, doc_id idx, trim('  ' || substring("text", 1, 12), ' ') "text" from documents where item_id is not null and "text" is not null),
+        with t as (select item_id, doc_id idx, trim('  ' || "text", ' ') "text" from documents where item_id is not null and "text" is not null),
         r as (select *, row_number() over (partition by item_id, lower("text") order by idx) k from t where strlen("text") >= 3) select item_id, idx, "text" from r where k = 1"""
     out["placeholders"] = (lambda spark, d: outputs.with_placeholders(outputs.clean_texts(_texts(spark, d)).select("item_id", "idx"), table(spark, d, "items").select(F.col("id").alias("item_id")))), """
-        with t as (select item_id, doc_id idx, trim('  ' || substring("text", 1, 12), ' ') "text" from documents where item_id is not null and "text" is not null),
+        with t as (select item_id, doc_id idx, trim('  ' || "text", ' ') "text" from documents where item_id is not null and "text" is not null),
         r as (select *, row_number() over (partition by item_id, lower("text") order by idx) k from t where strlen("text") >= 3)
         select item_id, idx, false is_placeholder from r where k = 1 union all select id, null, true from items where id not in (select item_id from r)"""
 
@@ -97,7 +97,7 @@ def registered():
         return outputs.item_data_rows(made, 7, 18, "text", 5000).select("id", "item_id", "idx", "source_id", "is_origin")
 
     out["item_data_rows"] = rows, """
-        with t as (select item_id, doc_id idx, trim('  ' || substring("text", 1, 12), ' ') "text" from documents where item_id is not null and "text" is not null),
+        with t as (select item_id, doc_id idx, trim('  ' || "text", ' ') "text" from documents where item_id is not null and "text" is not null),
         r as (select *, row_number() over (partition by item_id, lower("text") order by idx) k from t where strlen("text") >= 3)
         select 4999 + row_number() over (order by item_id, idx) id, item_id, idx, idx source_id, null::boolean is_origin from r where k = 1"""
 
