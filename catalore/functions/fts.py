@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from catalore.functions.errors import QueryError
+
 K1, B = 1.2, 0.75
 #: The tokenizer cuts texts into runs of this many characters.
 GRAM = 3
@@ -42,10 +44,6 @@ class Without:
     right: object
 
 
-class QueryError(ValueError):
-    """A full-text query that can't be understood."""
-
-
 _LEX = re.compile(r'\s*(?:(?P<phrase>"(?:[^"]|"")*")|(?P<sign>[()+*:^{}-])|(?P<word>[^\s"()+*:^{}-]+))')
 
 

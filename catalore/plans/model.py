@@ -5,10 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-
-class QueryError(ValueError):
-    """A query that is not well formed."""
-
+from catalore.functions.errors import QueryError
 
 #: Selectable columns: name to (table, column).
 COLUMNS = {

@@ -23,10 +23,14 @@ PREFETCH, SPAN = 4096, 256
 
 @dataclass
 class Response:
-    """What a search gives: count (if wanted), rows, seed (if one was minted), seconds by step."""
+    """What a search gives: count (if wanted), rows, seed (if one was minted), seconds by step.
+
+    A page's rows are fetched; those of a query without pages (``page_size``
+    below 1) stay a DataFrame, as they may be the whole library.
+    """
 
     count: int | None
-    results: list[Row]
+    results: list[Row] | DataFrame
     seed: int | None = None
     metrics: dict[str, float] = field(default_factory=dict)
 
@@ -163,9 +167,12 @@ class Engine:
                 kept = annotate(kept, self.catalog, bookmarks_namespace, bookmarks_user)
             if "_at" in kept.columns:
                 kept = kept.orderBy("_at").drop("_at")
-            rows = (kept if self.outro else without_outro(kept)).collect()  # a page
+            kept = kept if self.outro else without_outro(kept)
+            if not size:
+                return Response(count, kept, minted, seconds)
+            rows = kept.collect()  # a page
             seconds["execute"] = time.time() - at
             if plain:
                 self.cache.put(rows_key, offset, rows, fetch)
-            out = rows[:size] if size else rows
+            out = rows[:size]
         return Response(count, out, minted, seconds)

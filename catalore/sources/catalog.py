@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection
 from functools import cached_property
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SCHEMAS = {
@@ -36,35 +36,40 @@ SCHEMAS = {
 #: Parquet names under which a table may lie besides its own.
 ALIASES = {"embeddings": "vector_fixtures"}
 
+
 class Catalog:
-    """Tables by name: given DataFrames first, then parquet under ``folder``, else empty.
+    """Tables by name: given ones first (a DataFrame, or what makes it when asked for), then parquet under ``folder``.
+
+    Without a folder a table that is not given is empty. With one, only the
+    tables named in ``absent`` are; any other that can't be read, or lacks a
+    column, raises, so that a wrong path never looks like an empty library.
 
     Keys are kept unique by what writes the tables; a row that is recorded twice
     all the same counts twice, and no read pays for looking.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, tables: dict[str, DataFrame] | None = None):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str | None = None, tables: dict[str, DataFrame | Callable[[], DataFrame]] | None = None, absent: Collection[str] = ()):
+        self.spark, self.folder, self.absent = spark, folder, frozenset(absent)
+        if unknown := self.absent - set(SCHEMAS):
+            raise ValueError(f"no such tables: {sorted(unknown)}")
         self._tables = dict(tables or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = self._read(name)
+        elif not isinstance(self._tables[name], DataFrame):
+            self._tables[name] = self._tables[name]()
         return self._tables[name]
 
     def _read(self, name: str) -> DataFrame:
+        if not self.folder or name in self.absent:
+            return self.spark.createDataFrame([], SCHEMAS[name])
         columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-        if self.folder:
-            try:
-                df = self.spark.read.parquet(f"{self.folder}/{ALIASES.get(name, name)}.parquet")
-                return df.select(*columns)
-            except AnalysisException:
-                pass
-        return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.parquet(f"{self.folder}/{ALIASES.get(name, name)}.parquet").select(*columns)
 
     def but(self, **tables: DataFrame) -> "Catalog":
         """A copy with some tables replaced."""
-        return Catalog(self.spark, self.folder, self._tables | tables)
+        return Catalog(self.spark, self.folder, self._tables | tables, self.absent)
 
     @cached_property
     def texts(self) -> DataFrame:

@@ -3,6 +3,7 @@ import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 
 from catalore.functions import vectors
 from catalore.operators import ingest, ledgers, media, outputs, quants, stats, user
@@ -249,8 +250,10 @@ def test_foreach_batch_upsert(spark):
 def test_save_and_inline_codes(spark, tmp_path):
     c = made(spark, setters=[(1, "m"), (2, "n")], vector_quant_coverage=[(5, 1, True, 0.5, 1, 1, 2, "L2", "ready")])
     c.save(str(tmp_path), "setters")
-    again = Catalog(spark, str(tmp_path))
+    again = Catalog(spark, str(tmp_path), absent=["tags"])
     assert again["setters"].count() == 2 and again["tags"].count() == 0
+    with pytest.raises(AnalysisException):
+        again["files"]
     again.but(setters=again["setters"].where("id = 1")).save(str(tmp_path), "setters")
     assert Catalog(spark, str(tmp_path))["setters"].count() == 1
     new = spark.createDataFrame([(1, 1, [1.0, -0.25]), (2, 2, [1.0, 1.0]), (3, 1, [1.0])], "id long, setter_id long, embedding array<float>")

@@ -167,6 +167,7 @@ def test_engine_cache_seed_and_bookmarks(spark, small):
     assert not engine.search({"page_size": 5}).metrics.get("cached")
     shuffled = engine.search({"order_by": [{"order_by": "random"}], "page_size": 3})
     assert 0 <= shuffled.seed < 1 << 53 and not shuffled.metrics.get("cached")
+    assert engine.search({"page_size": 0}).results.count() == first.count  # all rows stay a DataFrame
     marked = engine.search({"page_size": 5}, bookmarks=True)
     assert [r.file_id for r in marked.results] == [r.file_id for r in first.results] and all(r.bookmarked in (True, False, None) for r in marked.results)
     assert engine.search({"count": False, "results": False}) .results == []
