@@ -16,8 +16,9 @@ from catalore.functions import fts, vectors
 from catalore.functions.text import like
 from catalore.plans.match import columns_of, condition
 from catalore.plans.model import COLUMNS, Match, QueryError
+from catalore.plans.runtime import cut_lineage, few
 
-#: Collected vectors of one target item, at most; a larger target is joined without being broadcast.
+#: Vectors of one target item that are broadcast at once; a larger target comes in several blocks.
 TARGET_ROWS = 10_000
 
 
@@ -253,13 +254,13 @@ def _vector_rows(args: dict, state, models: list[str], outer: bool, need_text: b
     return joined.where(F.col("_has").isNull() | ok if outer else ok).drop("_has")
 
 
-def _payload(rows: DataFrame, args: dict, state, models: list[str]) -> tuple[DataFrame, float | None]:
-    """Vector rows with their vector, or their int8 code where the index says so (then with its step)."""
+def _payload(args: dict, state, models: list[str]) -> tuple[DataFrame, float | None]:
+    """(vec_id, vec) of all vectors, or of their int8 codes where the index says so (then with their step)."""
     profile = state.index(args, models)
     if profile is None:
-        return rows.join(state.catalog["embeddings"].select(F.col("id").alias("vec_id"), F.col("embedding").alias("vec")), "vec_id"), None
+        return state.catalog["embeddings"].select(F.col("id").alias("vec_id"), F.col("embedding").alias("vec")), None
     codes = state.catalog["embedding_quants"].where(F.col("profile_id") == profile[0])
-    return rows.join(codes.select(F.col("id").alias("vec_id"), F.col("quant").alias("vec")), "vec_id"), profile[1]
+    return codes.select(F.col("id").alias("vec_id"), F.col("quant").alias("vec")), profile[1]
 
 
 def _coded(query, step: float | None):
@@ -278,9 +279,10 @@ def _semantic(ctx: DataFrame, args: dict, state, models: list[str], metric: str,
         # membership alone, by the table that holds a row for every vector
         held = state.catalog["embeddings"].select(F.col("id").alias("vec_id"))
         return ctx.join(rows.join(held, "vec_id", "left_semi"), on, "left_semi")
-    vec, step = _payload(rows, args, state, models)
+    vec, step = _payload(args, state, models)
     query = _coded(_query_vector(args, state), step)
-    near = vec.withColumn("d", vectors.distance_to(F.col("vec"), query, metric)).drop("vec")
+    # distances are taken where the vectors lie; only (vec_id, d) meets the other tables
+    near = rows.join(vec.select("vec_id", vectors.distance_to(F.col("vec"), query, metric).alias("d")), "vec_id")
     each = near.groupBy(*on).agg(_aggregate(args["distance_aggregation"], F.col("d"), _weight(args["src_text"], "")).alias("order_rank"))
     return ctx.join(each, on).select(*ctx.columns, "order_rank")
 
@@ -311,19 +313,34 @@ def similar_to(ctx: DataFrame, args: dict, state) -> DataFrame:
         return ctx.join(mine, "item_id", "left_semi").crossJoin(F.broadcast(some)).select(*ctx.columns)
     metric = args["force_distance_function"] or state.metrics.get(args["model"]) or state.metrics.get(args["model"].split("/")[0]) or args["distance_function"]
     metric = vectors.COSINE if str(metric).lower() == "cosine" else vectors.L2
-    vec, _ = _payload(rows, args, state, models)
-    carry = ["data_type", "vec"] + (["confidence", "language_confidence"] if _weighs(src) else [])
-    own = vec.join(target, "item_id", "left_semi").select(*[F.col(c).alias(f"t_{c}") for c in carry])
-    # the vectors of one item: broadcast if few, as almost always
-    own = F.broadcast(own) if own.limit(TARGET_ROWS + 1).count() <= TARGET_ROWS else own
-    pairs = vec.join(target, "item_id", "left_anti").join(ctx.select("item_id").distinct(), "item_id", "left_semi").select("item_id", *carry).crossJoin(own)
+    vec, _ = _payload(args, state, models)
+    carry = ["data_type"] + (["confidence", "language_confidence"] if _weighs(src) else [])
+    mine = rows.join(target, "item_id", "left_semi").select("vec_id", *[F.col(c).alias(f"t_{c}") for c in carry])
+    own = vec.join(F.broadcast(mine) if few(mine, TARGET_ROWS) else mine, "vec_id").select(F.col("vec").alias("t_vec"), *[f"t_{c}" for c in carry])
+    theirs = others.join(ctx.select("item_id").distinct(), "item_id", "left_semi").select("vec_id", "item_id", *carry)
+    # the vectors of one item are a query set against all rows, in broadcast blocks
+    near = None
+    for block in _blocks(own):
+        d = vec.crossJoin(F.broadcast(block)).withColumn("d", vectors.distance(F.col("t_vec"), F.col("vec"), metric)).drop("vec", "t_vec")
+        pairs = theirs.join(d, "vec_id")
+        near = pairs if near is None else near.unionByName(pairs)
     if args["clip_xmodal"]:
         for keep, kind in ((args["xmodal_i2i"], "clip"), (args["xmodal_t2t"], "text-embedding")):
             if not keep:
-                pairs = pairs.where((F.col("t_data_type") != kind) | (F.col("data_type") != kind))
-    near = pairs.withColumn("d", vectors.distance(F.col("t_vec"), F.col("vec"), metric)).drop("vec", "t_vec")
+                near = near.where((F.col("t_data_type") != kind) | (F.col("data_type") != kind))
     each = near.groupBy("item_id").agg(_aggregate(args["distance_aggregation"], F.col("d"), _weight(src, "", "t_")).alias("order_rank"))
     return ctx.join(each, "item_id").select(*ctx.columns, "order_rank")
 
 
+def _blocks(own: DataFrame) -> list[DataFrame]:
+    """A target's vectors, computed once, in blocks of about ``TARGET_ROWS`` at most."""
+    own = cut_lineage(own)
+    n = -(-own.count() // TARGET_ROWS)
+    if n <= 1:
+        return [own]
+    # twice as many blocks as needed, so that none outgrows its bound by chance
+    marked = cut_lineage(own.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2 * n))))
+    return [marked.where(F.col("_block") == i).drop("_block") for i in range(2 * n)]
+
+
 FILTERS = {f.__name__: f for f in (match_path, match_text, match_tags, in_bookmarks, in_pinboard, processed_by, has_data_unprocessed, failed_for, text_embeddings, image_embeddings, similar_to)}

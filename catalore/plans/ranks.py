@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
+from pyspark.storagelevel import StorageLevel
 
 from catalore.plans.runtime import cut_lineage
 
@@ -14,11 +15,15 @@ BIG = 9223372036854775805
 def row_numbers(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with global 1-based row numbers in ``order``.
 
-    Rows are computed once, then range-partitioned by the order and kept again,
-    so that both passes see the same ranges; each partition numbers its own rows from the count of those
-    before it. Only the counts, one a partition, are broadcast.
+    Rows are range-partitioned by the order and kept, so that both passes below
+    see the same ranges; each partition numbers its own rows from the count of
+    those before it. Only the counts, one a partition, are broadcast. Finding
+    the ranges and moving the rows would compute ``df`` twice, so it is held by
+    the executors in between (a lost part is computed anew).
     """
-    ranged = cut_lineage(cut_lineage(df).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = cut_lineage(held.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    held.unpersist()
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
