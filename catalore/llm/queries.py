@@ -48,10 +48,27 @@ e as (select *, regexp_replace(regexp_replace(trim(last_modified), '^(\d{4})/(\d
 f as (select *, try_cast(case when regexp_matches(t, '(Z|[+-]\d\d:\d\d)$') then t else t || 'Z' end as timestamptz) at0,
   case when regexp_matches(h, '^[0-9a-f]{64}$') and h <> repeat(left(h, 1), 64) then h end hash from e),
 g as (select *, case when at0 >= timestamptz '1990-01-01 00:00:00+00' and at0 < timestamptz '2026-07-01 00:00:00+00' then epoch_us(at0) end us from f)
+"""
+FOUND_SQL = FILES_SQL + """
 select min(id) first_id, arg_max(hash, (coalesce(us, 0), hash)) filter (where hash is not null) sha256,
   strftime(make_timestamp(max(us)), '%Y-%m-%dT%H:%M:%SZ') last_modified
 from g group by place having count(*) > 1"""
 
+#: Votes of a year's half-life, weighted by the trust of each scan; places are rooted, as in the tables.
+SURVIVORS_SQL = (
+    FILES_SQL.replace("from files where path is not null", "from files")
+    .replace("from a where p <> ''", "from a")
+    + """,
+tr as (select scan_id, (count(*) filter (where hash is not null and us is not null) + 1) / (count(*) + 2) trust from g group by 1),
+w as (select g.*, trust, trust * pow(2, us / 31536000e6) vote from g join tr on tr.scan_id is not distinct from g.scan_id where p <> ''),
+l as (select place, 'h' field, hash as "value", us, trust, vote from w where hash is not null
+  union all select place, 't', strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%SZ'), us, trust, vote from w where us is not null),
+v as (select place, field, "value", (count(us) > 0)::int dated, case when count(us) > 0 then sum(vote) else sum(trust) end votes, coalesce(max(us), 0) last from l group by all),
+best as (select place, arg_max("value", (dated, votes, last, "value")) filter (where field = 'h') sha256, arg_max("value", (dated, votes, last, "value")) filter (where field = 't') last_modified from v group by 1)
+select first_id, records, '/' || place path, sha256, last_modified, string_split(place, '/')[-1] filename
+from (select place, min(id) first_id, count(*) records from w group by 1) left join best using (place)"""
+)
+
 #: Pairs of usable vectors by comparing all of one model.
 PAIRS_SQL = """
 with v as (select id, model, case when embedding is not null then embedding::double[] else query_quant::double[] end x from vector_fixtures),
@@ -63,4 +80,4 @@ select a.id id_a, b.id id_b from u a join u b on a.model = b.model and a.id < b.
 
 def oracle_sql():
     """SQL for those queries that SQL can state over whole tables."""
-    return {"p3_found": FILES_SQL, "p5_found": PAIRS_SQL}
+    return {"p3_found": FOUND_SQL, "p3_survivors": SURVIVORS_SQL, "p5_found": PAIRS_SQL}

@@ -1,4 +1,4 @@
-from catalore.llm.survivor import file_survivors, moment, p3_found, p3_survivors, place, survivors, whole_hash
+from catalore.llm.survivor import moment, p3_found, p3_survivors, place, source_trust, survivors, whole_hash
 from pyspark.sql import functions as F
 
 FILES = "id long, sha256 string, item_id long, path string, filename string, last_modified string, scan_id long, available boolean, field string, value string, records long"
@@ -47,9 +47,9 @@ def test_best_of_each_field(spark):
     ]
     found = {r.first_id: (r.sha256, r.last_modified) for r in p3_found(files(spark, rows)).collect()}
     assert found == {5: (b, "2020-01-01T00:00:00Z"), 3: (None, None)}
-    every = {r.key: r for r in file_survivors(files(spark, rows)).collect()}
+    every = {r.path: r for r in p3_survivors(files(spark, rows)).collect()}
     assert set(every) == {"/x/one.jpg", "/x/two.jpg", "/x/three.jpg"} and every["/x/one.jpg"].records == 4 and every["/x/one.jpg"].filename == "one.jpg"
-    assert p3_found(files(spark, [])).count() == 0
+    assert p3_found(files(spark, [])).count() == 0 and p3_survivors(files(spark, [])).count() == 0
 
 
 def test_agreement_outvotes_with_a_long_half_life(spark):
@@ -65,3 +65,45 @@ def test_survivors_are_voted(spark):
     late = [(4, b, 1, "/x/one.jpg", None, "2026-01-01T00:00:00Z", 1, True)]
     assert [r.sha256 for r in p3_survivors(files(spark, rows[:2] + late)).collect()] == [b]
     assert [r.sha256 for r in p3_found(files(spark, rows)).collect()] == [b]
+
+
+def test_trusted_sources_outvote_a_newer_record(spark):
+    a, b = "ab" * 32, "cd" * 32
+    rows = [(1, a, 1, "/x/one.jpg", None, "2020-01-01T00:00:00Z", 1, True), (2, a, 1, "/x/one.jpg", None, "2020-01-02T00:00:00Z", 2, True), (3, b, 1, "/x/one.jpg", None, "2020-06-01T00:00:00Z", 3, True)]
+    trusts = lambda *t: spark.createDataFrame(list(zip((1, 2, 3), t)), "scan_id long, trust double")
+    best = lambda t, half=365 * 86_400.0: [(r.first_id, r.records, r.sha256) for r in p3_survivors(files(spark, rows), half, t).collect()]
+    assert best(trusts(0.9, 0.9, 0.9)) == [(1, 3, a)]
+    assert best(trusts(0.2, 0.2, 0.9)) == [(1, 3, b)]  # untrusted ones don't, though they agree
+    assert best(trusts(0.9, 0.9, 0.9), 86_400.0) == [(1, 3, b)]  # nor do old ones
+    assert best(spark.createDataFrame([(3, 0.5)], "scan_id long, trust double")) == [(1, 3, b)]  # unnamed sources count nothing
+
+
+def test_source_trust(spark):
+    a = "ab" * 32
+    rows = [(1, a, 1, "/a", None, "2020-01-01", 1, True), (2, "pending", 1, "/b", None, "2020-01-01", 1, True), (3, a, 1, "/c", None, None, 2, True), (4, a, 1, "/d", None, "2020-01-01", None, True)]
+    assert {r.scan_id: round(r.trust, 6) for r in source_trust(files(spark, rows)).collect()} == {1: 0.5, 2: round(1 / 3, 6), None: round(2 / 3, 6)}
+
+
+def test_export_time_is_an_argument(spark):
+    rows = [(i, "ab" * 32, 1, "/x", None, "2031-01-01T00:00:00Z", 1, True) for i in (1, 2)]
+    assert p3_found(files(spark, rows)).first().last_modified is None
+    assert p3_found(files(spark, rows), "2031-12-31T00:00:00Z").first().last_modified == "2031-01-01T00:00:00Z"
+
+
+def test_votes_across_buckets_equal_a_plain_sum(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(i, f"k{draw.randrange(40)}", f"v{draw.randrange(3)}", draw.randrange(0, 3_000_000), draw.choice([0.25, 0.5, 1.0])) for i in range(600)]
+    half = 1000.0  # 3,000 half-lives: six buckets
+    df = spark.createDataFrame(rows, "id long, k string, v string, t long, w double")
+    got = {(r.first_id, r.v) for r in survivors(df, F.col("k"), {"v": F.col("v")}, F.timestamp_seconds("t"), F.col("w"), half).collect()}
+    want = set()
+    for k in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == k]
+        newest = max(r[3] for r in own)
+        votes = {}
+        for _, _, v, t, w in own:
+            votes[v] = votes.get(v, 0.0) + w * 2.0 ** ((t - newest) / half)
+        want.add((min(r[0] for r in own), max(votes, key=votes.get)))
+    assert got == want
