@@ -54,7 +54,7 @@ select min(id) first_id, arg_max(hash, (coalesce(us, 0), hash)) filter (where ha
   strftime(make_timestamp(max(us)), '%Y-%m-%dT%H:%M:%SZ') last_modified
 from g group by place having count(*) > 1"""
 
-#: Votes of a year's half-life, weighted by the trust of each scan; places are rooted, as in the tables.
+#: Votes of a year's half-life, weighted by the trust of each scan.
 SURVIVORS_SQL = (
     FILES_SQL.replace("from files where path is not null", "from files")
     .replace("from a where p <> ''", "from a")
@@ -65,7 +65,7 @@ l as (select place, 'h' field, hash as "value", us, trust, vote from w where has
   union all select place, 't', strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%SZ'), us, trust, vote from w where us is not null),
 v as (select place, field, "value", (count(us) > 0)::int dated, case when count(us) > 0 then sum(vote) else sum(trust) end votes, coalesce(max(us), 0) last from l group by all),
 best as (select place, arg_max("value", (dated, votes, last, "value")) filter (where field = 'h') sha256, arg_max("value", (dated, votes, last, "value")) filter (where field = 't') last_modified from v group by 1)
-select first_id, records, '/' || place path, sha256, last_modified, string_split(place, '/')[-1] filename
+select first_id, records, place path, sha256, last_modified, string_split(place, '/')[-1] filename
 from (select place, min(id) first_id, count(*) records from w group by 1) left join best using (place)"""
 )
 
