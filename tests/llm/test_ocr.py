@@ -82,3 +82,72 @@ def test_every_neighbour_has_a_vector(spark):
     names = ["".join("abcdefghij"[int(c)] for c in f"{i:05d}") for i in range(20_100)]
     texts = [(1, 1, k, " ".join(names[at : at + 300])) for k in range(ocr.LEAST) for at in range(0, len(names), 300)]
     assert set(ocr.Repair(ocr.pages_of(*tables(spark, texts))).vectors) == set(names)
+
+
+class NoVectors(ocr.Repair):
+    def _vectors(self, words, least):
+        return {}
+
+
+def ambiguous(n=60):
+    """Pages about a farm and pages about a kitchen; ``bam`` may be a barn or ham."""
+    import random
+
+    draw = random.Random(3)
+    farm = "farmer tractor muddy field oats cattle fence stable plough hay barn".split()
+    food = "cook mustard plate bread butter oven slices salted kitchen pepper ham".split()
+    say = lambda words: " ".join(draw.choice(words) for _ in range(60))
+    pages = [(k, 1, 0, say(w)) for k in range(n) for w in (farm, food)]
+    pages += [(900, 1, 0, "tractor muddy field oats cattle bam stable plough hay fence farmer"), (901, 1, 0, "cook mustard plate bread butter bam slices salted kitchen pepper oven")]
+    return pages, len(pages) - 2
+
+
+def test_vectors_choose_among_plausible_words(spark):
+    texts, at = ambiguous()
+    pages = ocr.pages_of(*tables(spark, texts))
+    fitted = ocr.Repair(pages)
+    got = {r.id: (r.text, r.kinds) for r in fitted.pages().where(f"id >= {at}").collect()}
+    assert "cattle barn stable" in got[at][0] and "butter ham slices" in got[at + 1][0]
+    assert got[at][1] == got[at + 1][1] == ["misread"]
+    assert {(r.word, r.neighbour) for r in fitted.links.collect()} == {("bam", "barn"), ("bam", "ham")}
+    # without the vectors nothing is corrected
+    without = {r.id: (r.text, r.kinds) for r in NoVectors(pages).pages().where(f"id >= {at}").collect()}
+    assert without == {at: (texts[at][3], []), at + 1: (texts[at + 1][3], [])}
+
+
+def test_far_neighbours_are_no_links(spark):
+    texts, at = ambiguous()
+    texts = [t for t in texts[:at] if " ham" in t[3] or "cook" in t[3]] + texts[at : at + 1] + texts[:at:2]
+    pages = ocr.pages_of(*tables(spark, [(a, b, c, t.replace("barn", "shed")) for a, b, c, t in texts]))
+    fitted = ocr.Repair(pages)
+    # ham is plausible for bam, but stands in other company
+    assert {r.neighbour for r in fitted.candidates.collect()} == {"ham"} and fitted.links.count() == 0
+    assert all("misread" not in r.kinds for r in fitted.pages().collect())
+
+
+def test_joins_beyond_the_broadcast_bound_give_the_same(spark):
+    texts, _ = ambiguous(20)
+    pages = ocr.pages_of(*tables(spark, texts))
+    fitted = ocr.Repair(pages)
+    rows = lambda df: sorted((*map(str, r),) for r in df.collect())
+    seen, links, fixed = rows(fitted.seen), rows(fitted.links), rows(fitted.pages())
+    fitted.broadcast_rows = 0
+    fitted.seen = fitted._contexts()
+    fitted.links = fitted._near()
+    assert rows(fitted.seen) == seen and rows(fitted.links) == links and rows(fitted.pages()) == fixed
+
+
+def test_depth_and_misreadings_are_parameters(spark):
+    tall = lambda i: "\n".join(["The Heavy Cabinet", "Volume Seven", "County Archive", *[SENTENCES[(i + k) % 4] + "." for k in range(4)]])
+    pages = ocr.pages_of(*tables(spark, [(1, 1, i, tall(i)) for i in range(6)]))
+    left = lambda depth: {r.text.split("\n")[0].split(" ")[0] for r in ocr.Repair(pages, depth=depth).pages().collect()}
+    assert left(2) == {"County"} and "County" not in left(3) and left(None) == left(3)
+    assert not ocr.plausible("rnurnrnurns", "mummums") and ocr.plausible("rnurnrnurns", "mummums", None)
+    assert [ocr.edges("a\n\nb\nc", d)[1:] for d in (2, None)] == [([0, 2], [3]), ([0, 2, 3], [])]
+
+
+def test_a_very_long_word(spark):
+    long = "m" * 5000
+    texts = [(1, 1, i, f"the {long} stands here") for i in range(30)] + [(1, 1, 31, f"the {long[:-1]}rn stands here")]
+    got = {r.id: r.text for r in ocr.p4_pages(*tables(spark, texts)).collect()}
+    assert got[30] == f"the {long} stands here"
