@@ -286,7 +286,7 @@ class Repair:
 
     def furniture(self) -> DataFrame:
         """(id, headers, shifts, siblings): per page its item's confirmed header skeletons, page-number shifts and pages."""
-        seen = self.source.select("id", "item_id", "setter_id", "idx", "text").mapInPandas(_edge_rows(self.depth), _PAIRS).where("item is not null")
+        seen = cut_lineage(self.source.select("id", "item_id", "setter_id", "idx", "text").mapInPandas(_edge_rows(self.depth), _PAIRS).where("item is not null"))
         counted = seen.groupBy("item", "setter", "edge", "key", "shift").agg(F.count_distinct("page").alias("pages"))
         agreed = counted.where("pages > 1")
         return (

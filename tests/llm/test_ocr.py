@@ -149,5 +149,6 @@ def test_depth_and_misreadings_are_parameters(spark):
 def test_a_very_long_word(spark):
     long = "m" * 5000
     texts = [(1, 1, i, f"the {long} stands here") for i in range(30)] + [(1, 1, 31, f"the {long[:-1]}rn stands here")]
-    got = {r.id: r.text for r in ocr.p4_pages(*tables(spark, texts)).collect()}
-    assert got[30] == f"the {long} stands here"
+    fitted = ocr.Repair(ocr.pages_of(*tables(spark, texts)))
+    assert [(len(r.word), len(r.neighbour), r.n, r.often) for r in fitted.candidates.collect()] == [(5001, 5000, 1, 30)]
+    assert fitted.pages().count() == 31
