@@ -14,9 +14,9 @@ position. Last, broken words and wrapped lines are joined.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -64,7 +64,7 @@ _LINE_NUMBER = re.compile(
 )
 _WITH_NUMBER = re.compile(r"^\s*(?:(?P<n1>\d{1,4})\s{2,}(?P<t1>\S.*?)|(?P<t2>\S.*?)\s{2,}(?P<n2>\d{1,4}))\s*$")
 FAR = 1 << 30
-_PAIRS = "page long, item long, setter long, edge string, key string, shift long"
+_PAIRS = "page long, item long, setter long, edge string, key long, shift long"
 
 
 def skeleton(word: str) -> str:
@@ -135,24 +135,30 @@ def title(line: str) -> bool:
     return 3 <= len(bare) <= 80 and not re.search(r"[.!?…,;:]$", bare) and bare[:1].isalnum() and bool(re.search(r"[^\W\d_]{2}", bare))
 
 
+def line_key(line: str) -> int:
+    """64 bits that stand for a line's skeleton among the lines of its item."""
+    return int.from_bytes(hashlib.blake2b(" ".join(skeleton(line).split()).encode(), digest_size=8).digest(), "big", signed=True)
+
+
 def _edge_rows(depth):
     def run(batches):
         for batch in batches:
             rows = []
             for page, item, setter, idx, text in zip(batch["id"], batch["item_id"], batch["setter_id"], batch["idx"], batch["text"]):
                 lines, top, bottom = edges(text, depth)
-                rows.append((page, item, setter, "page", "", 0))
+                own = [(page, item, setter, "page", 0, 0)]
                 for i in [*top, *bottom]:
                     line = lines[i]
                     if (n := line_number(line)) is not None:
-                        rows.append((page, item, setter, "number", "", n[0] - idx))
+                        own.append((page, item, setter, "number", 0, n[0] - idx))
                         continue
                     m = _WITH_NUMBER.match(line)
                     if m and title(m["t1"] or m["t2"]):
-                        rows.append((page, item, setter, "number", "", int(m["n1"] or m["n2"]) - idx))
+                        own.append((page, item, setter, "number", 0, int(m["n1"] or m["n2"]) - idx))
                         line = m["t1"] or m["t2"]
                     if title(line) and len(lines) > 1:
-                        rows.append((page, item, setter, "title", " ".join(skeleton(line).split()), 0))
+                        own.append((page, item, setter, "title", line_key(line), 0))
+                rows += dict.fromkeys(own)  # each once a page
             yield pd.DataFrame(rows, columns=["page", "item", "setter", "edge", "key", "shift"])
 
     return run
@@ -285,9 +291,9 @@ class Repair:
         return both.withColumn("near", near("sum", "neighbour")).where(odd | (F.col("near") >= self.agree)).drop("sum")
 
     def furniture(self) -> DataFrame:
-        """(id, headers, shifts, siblings): per page its item's confirmed header skeletons, page-number shifts and pages."""
+        """(id, headers, shifts, siblings): per page its item's confirmed headers (as ``line_key``), page-number shifts and pages."""
         seen = cut_lineage(self.source.select("id", "item_id", "setter_id", "idx", "text").mapInPandas(_edge_rows(self.depth), _PAIRS).where("item is not null"))
-        counted = seen.groupBy("item", "setter", "edge", "key", "shift").agg(F.count_distinct("page").alias("pages"))
+        counted = seen.groupBy("item", "setter", "edge", "key", "shift").agg(F.count(F.lit(1)).alias("pages"))
         agreed = counted.where("pages > 1")
         return (
             seen.join(agreed, ["item", "setter", "edge", "key", "shift"])
@@ -306,7 +312,7 @@ class Repair:
             for batch in batches:
                 rows = []
                 for i, idx, text, headers, shifts, siblings, links in zip(*[batch[c] for c in ("id", "idx", "text", "headers", "shifts", "siblings", "links")]):
-                    rows.append((i, *repair(text, int(idx), set(headers) if headers is not None else set(), {int(s) for s in shifts} if shifts is not None else set(), not siblings > 2, links if links is not None else [], shared.value, agree, depth)))
+                    rows.append((i, *repair(text, int(idx), {int(h) for h in headers} if headers is not None else set(), {int(s) for s in shifts} if shifts is not None else set(), not siblings > 2, links if links is not None else [], shared.value, agree, depth)))
                 yield pd.DataFrame(rows, columns=["id", "text", "kinds", "fixes"])
 
         return whole.mapInPandas(run, "id long, text string, kinds array<string>, fixes int")
@@ -387,11 +393,11 @@ def repair(text: str, idx: int, headers: set, shifts: set, few: bool, links, vec
             name = (m["t1"] or m["t2"]) if m and title(m["t1"] or m["t2"]) else line
             if m and name is not line:
                 near = int(m["n1"] or m["n2"]) - idx in shifts
-                if near or " ".join(skeleton(name).split()) in headers or len(lines) > 2 and len(name.split()) <= 8 and ".." not in name:
+                if near or line_key(name) in headers or len(lines) > 2 and len(name.split()) <= 8 and ".." not in name:
                     kinds |= {"header", "page_number"}
                     gone.add(i)
                     continue
-            if len(lines) > 1 and title(line) and " ".join(skeleton(line).split()) in headers:
+            if len(lines) > 1 and title(line) and line_key(line) in headers:
                 kinds.add("header")
                 gone.add(i)
                 continue
