@@ -138,3 +138,22 @@ def p8_found(documents: DataFrame) -> DataFrame:
 def p8_pieces(documents: DataFrame) -> DataFrame:
     """Pieces of at most 2,000 tokens with an overlap of about 100."""
     return pieces(documents)
+
+
+def p8_bounds(documents: DataFrame) -> DataFrame:
+    """(documents, over, gaps, bare): what must hold of all pieces, counted over all cut texts.
+
+    ``over`` counts pieces beyond the limit, ``gaps`` texts whose pieces do not
+    cover them character for character, ``bare`` pieces but the first that
+    repeat nothing.
+    """
+    whole = documents.where(F.octet_length("text") > LIMIT).select("doc_id", F.length("text").alias("length"))
+    each = pieces(documents).groupBy("doc_id").agg(
+        F.sum((F.col("n_tokens") > LIMIT).cast("long")).alias("over"),
+        F.sum(((F.col("piece") > 0) & (F.col("start") >= F.col("new"))).cast("long")).alias("bare"),
+        F.sum(F.col("end") - F.col("new")).alias("covered"),
+        F.sum((F.length("text") != F.col("end") - F.col("start")).cast("long")).alias("wrong"),
+    )
+    gap = (F.col("covered") != F.col("length")) | (F.col("wrong") > 0)
+    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("over", F.col("over")), ("gaps", gap.cast("long")), ("bare", F.col("bare")))]
+    return each.join(whole, "doc_id").agg(F.count(F.lit(1)).alias("documents"), *totals)

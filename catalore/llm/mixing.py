@@ -20,8 +20,14 @@ from catalore.plans.runtime import cut_lineage
 
 #: A source's repeat is summed up in 2^BUCKET_BITS buckets.
 BUCKET_BITS = 10
-#: Schedules by the place of a source in the list: relative weights at even steps of the run.
-SCHEDULES = ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0), (0.5, 1.5, 0.5))
+#: The schedule of a source that has none of its own: the same weight throughout. Weights are relative, at even steps of the run.
+FLAT = (1.0, 1.0)
+#: The curriculum of ``p7_mix``: short captions and notes early, long and spoken texts late, manuals in the middle.
+CURRICULUM = {
+    "board_notes": (1.5, 0.5), "photo_captions": (1.5, 0.5), "film_stills": (1.5, 0.5), "image_prompts": (1.5, 0.5), "comic_bubbles": (1.5, 0.5),
+    "lecture_transcripts": (0.5, 1.5), "podcast_transcripts": (0.5, 1.5), "oral_histories": (0.5, 1.5), "archive_letters": (0.5, 1.5),
+    "user_manuals": (0.5, 1.5, 0.5),
+}
 
 
 def source_name(column: Column) -> Column:
@@ -58,6 +64,8 @@ def budget(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 def segments(schedule) -> list[tuple[float, float, float, float, float, float]]:
     """(t0, t1, w0, w1, f0, f1) of a schedule's straight pieces, f its integral scaled to 1."""
+    if len(schedule) < 2 or min(schedule) < 0 or not sum(schedule) > 0:
+        raise ValueError(f"not a schedule: {schedule!r}")
     n = len(schedule) - 1
     areas = [(schedule[i] + schedule[i + 1]) / 2 / n for i in range(n)]
     whole, done, out = sum(areas), 0.0, []
@@ -73,8 +81,8 @@ def mix(documents: DataFrame, targets: DataFrame, schedules: dict | None = None,
 
     Documents without tokens or of sources that are not wanted are not used. A
     document starts before its source's goal is reached, so a source may exceed
-    it by less than one document. ``schedules`` maps a source to its weights;
-    others take turns through ``SCHEDULES``.
+    it by less than one document. ``schedules`` maps a source to its weights
+    (at least two, none negative, not all 0); others stay ``FLAT``.
     """
     return _mixed(cut_lineage(sized(documents, tokenizer)), targets, schedules)
 
@@ -83,11 +91,11 @@ def _mixed(sizes: DataFrame, targets: DataFrame, schedules: dict | None = None,
     spark = sizes.sparkSession
     plan = (budget(sizes, targets) if plan is None else plan).where("goal > 0").orderBy("key").collect()  # one row per target
     wanted, pieces = [], []
-    for i, r in enumerate(plan):
+    for r in plan:
         # a tiny allowance keeps a whole number of repeats whole
         repeats = min(int(r["max_repeats"]), int(-(-(r["goal"] - 1e-6) // r["available"])))
         wanted.append((r["key"], r["source"], float(r["goal"]), int(r["available"]), repeats))
-        weights = (schedules or {}).get(r["source"], SCHEDULES[i % len(SCHEDULES)])
+        weights = (schedules or {}).get(r["source"], FLAT)
         pieces += [(r["key"], *x) for x in segments(weights)]
     goals = spark.createDataFrame(wanted, "source string, name string, goal double, available long, repeats int")
     lines = spark.createDataFrame(pieces, "source string, t0 double, t1 double, w0 double, w1 double, f0 double, f1 double")
@@ -145,8 +153,8 @@ def p7_found(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def p7_mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """The mix in training order."""
-    return mix(documents, targets)
+    """The mix in training order, by ``CURRICULUM``."""
+    return mix(documents, targets, CURRICULUM)
 
 
 def p7_shares(documents: DataFrame, targets: DataFrame) -> DataFrame:

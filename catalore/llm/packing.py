@@ -20,6 +20,8 @@ from catalore.llm.tokens import TOKENIZER, count
 from catalore.plans.runtime import cut_lineage
 
 CAPACITY = 2000
+#: Rows of the plan's side tables that are broadcast at most; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: Buckets that a size class is ranked in, so that a size shared by many texts is no single task.
 BUCKETS = 128
 
@@ -134,8 +136,10 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
         rows.append((0, 0, sizes[0], 0, sizes[0]))
     where = spark.createDataFrame(rows, "n_tokens long, low long, high long, first long, each long")
     rank = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece")) - 1
-    ranked = placed.withColumn("at", rank).join(F.broadcast(offsets), ["n_tokens", "bucket"]).withColumn("at", F.col("at") + F.col("before"))
-    found = ranked.join(F.broadcast(where), "n_tokens").where("at >= low and at < high")
+    # offsets have a row a size and bucket, the plan a few a size: both grow with the capacity, not with the texts
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    ranked = placed.withColumn("at", rank).join(small(offsets, BUCKETS * len(sizes)), ["n_tokens", "bucket"]).withColumn("at", F.col("at") + F.col("before"))
+    found = ranked.join(small(where, len(rows)), "n_tokens").where("at >= low and at < high")
     return found.select("doc_id", "piece", "token_start", "n_tokens", (F.col("first") + F.floor((F.col("at") - F.col("low")) / F.col("each"))).cast("long").alias("container"))
 
 
@@ -154,3 +158,20 @@ def p6_pack(documents: DataFrame) -> DataFrame:
 def p6_fill(documents: DataFrame) -> DataFrame:
     """Containers used and their fill."""
     return fill(pack(documents))
+
+
+def p6_bounds(documents: DataFrame) -> DataFrame:
+    """(documents, over, split, lost): what must hold of every packing, counted over all texts.
+
+    ``over`` counts containers beyond the capacity, ``split`` texts that would
+    fit but have several pieces, ``lost`` pieces missing or out of place.
+    """
+    packed = cut_lineage(pack(documents))
+    over = packed.where("container > 0 or n_tokens > 0").groupBy("container").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > CAPACITY).agg(F.count(F.lit(1)).alias("over"))
+    each = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"))
+    texts = each.agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.coalesce(F.sum(((F.col("pieces") > 1) & (F.col("n") <= CAPACITY)).cast("long")), F.lit(0)).alias("split"),
+        F.coalesce(F.sum((F.col("n") != F.col("end")).cast("long")), F.lit(0)).alias("lost"),
+    )
+    return texts.crossJoin(F.broadcast(over)).select("documents", "over", "split", "lost")  # one row each

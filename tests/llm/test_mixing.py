@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 from catalore.llm import mixing
 from catalore.llm.mixing import mix, p7_found, segments, shares
 
@@ -50,3 +52,14 @@ def test_found_comes_from_the_mix(spark, monkeypatch):
     whole = mixing._mixed
     monkeypatch.setattr(mixing, "_mixed", lambda *args, **more: whole(*args, **more).where("source <> 'alpha'"))
     assert sorted(r.source for r in p7_found(docs, targets).collect()) == ["alpha", "delta"]
+
+
+def test_sources_without_a_schedule_stay_flat(spark):
+    docs, targets = tables(spark)
+    rows = mix(docs, targets, {"beta_two": (0.0, 1.0)}).collect()
+    early = Counter(r.source for r in rows if r.position < 0.5)
+    whole = Counter(r.source for r in rows)
+    assert abs(early["alpha"] / whole["alpha"] - 0.5) < 0.03 and abs(early["beta_two"] / whole["beta_two"] - 0.25) < 0.03
+    for wrong in ((), (1.0,), (0.0, 0.0), (1.0, -1.0)):
+        with pytest.raises(ValueError):
+            segments(wrong)
