@@ -22,9 +22,11 @@ from pyspark.sql.window import Window
 from catalore.llm.vptree import Tree, chord
 from catalore.plans.runtime import cut_lineage
 
-#: Rows per model that the routing tree is fitted on, at most in expectation.
-SAMPLE_ROWS = 4096
-#: Rows a shard should hold.
+#: Rows per model that the routing tree is fitted on, in expectation; more where more shards are wanted, up to MOST_ROWS.
+SAMPLE_ROWS, MOST_ROWS = 4096, 65_536
+#: Sample rows that a shard stands on at least.
+ROWS_A_SHARD = 8
+#: Rows a shard should hold; one that the sample says will hold over twice as many is split into blocks.
 SHARD_ROWS = 6000
 #: The table of copies is broadcast up to this size, and joined by shuffle beyond.
 BROADCAST_BYTES = 16 << 20
@@ -96,7 +98,7 @@ def _once(table: pa.Table) -> pa.Table:
 class Index:
     """Classes of equal vectors, their members, and a routing tree per model."""
 
-    def __init__(self, vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS):
+    def __init__(self, vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS, most_rows: int = MOST_ROWS):
         self.spark = vectors.sparkSession
         self.rows = cut_lineage(usable(vectors).withColumn("key", F.unhex(F.md5("vec"))))
         repeated = self.rows.groupBy("model", "key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -109,25 +111,28 @@ class Index:
         counts = {r["model"]: r["count"] for r in self.rows.groupBy("model").count().collect()}
         share = F.lit(0.0)
         for model, n in counts.items():
-            share = F.when(F.col("model") == model, F.lit(min(1.0, sample_rows / n))).otherwise(share)
+            share = F.when(F.col("model") == model, F.lit(min(1.0, min(max(sample_rows, ROWS_A_SHARD * n // shard_rows), most_rows) / n))).otherwise(share)
         draw = F.pmod(F.xxhash64(F.lit("routing"), "id"), F.lit(1 << 30)) < share * float(1 << 30)
         picked: dict[str, list] = {}
         for r in self.rows.where(draw).select("model", "id", "vec").orderBy("model", "id").collect():
             picked.setdefault(r["model"], []).append(bytes(r["vec"]))
         self.samples = {m: np.frombuffer(b"".join(v), dtype=np.float32).reshape(len(v), -1) for m, v in picked.items()}
-        self.routes = {}
+        self.routes, self.blocks = {}, {}
         for model, sample in self.samples.items():
             distinct = np.unique(sample, axis=0)
-            leaf = max(8, int(len(distinct) * shard_rows / max(counts[model], 1)))
-            self.routes[model] = Tree(distinct, leaf=leaf)
+            n = max(counts[model], 1)
+            tree = self.routes[model] = Tree(distinct, leaf=max(ROWS_A_SHARD, int(len(distinct) * shard_rows / n)))
+            expected = np.asarray([len(leaf) for leaf in tree.leaves]) * (n / len(distinct))
+            self.blocks[model] = np.maximum(np.ceil(expected / (2 * shard_rows)), 1).astype(np.int64)
+            self.samples[model] = sample[:sample_rows]  # in the order of the ids, which say nothing about vectors
 
     def _routed(self, source: DataFrame, reach_of, query) -> DataFrame:
         """Rows sent to shards: once as member, and as query wherever the ball reaches."""
-        routes = self.spark.sparkContext.broadcast((self.routes, self.samples if reach_of == "nearest" else {}))
+        routes = self.spark.sparkContext.broadcast((self.routes, self.blocks, self.samples if reach_of == "nearest" else {}))
         k, value = query
 
         def send(batches):
-            trees, samples = routes.value
+            trees, blocks, samples = routes.value
             for batch in batches:
                 models = np.asarray(batch.column(1).to_pylist(), dtype=object)
                 for model in set(models.tolist()):
@@ -140,13 +145,18 @@ class Index:
                         # no row of this model fell into the sample: one shard
                         at, shard, member, query = np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool), asks
                     else:
-                        home = tree.place(x)
+                        split = blocks[model]
+                        first = np.cumsum(split) - split
+                        leaf = tree.place(x)
+                        draw = part.column(0).to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                        home = first[leaf] + (draw % split[leaf].astype(np.uint64)).astype(np.int64)
                         rows = np.flatnonzero(asks)
                         reach = value
                         if reach_of == "nearest":
                             s = np.sort(x[rows] @ samples[model].T, axis=1)
                             reach = chord(s[:, -(k + 1)] if s.shape[1] > k else np.full(len(rows), -1.0)) / value
-                        goes = [(rows[r], np.full(len(r), leaf)) for r, leaf in tree.visits(x[rows], reach)] if len(rows) else []
+                        # a query goes to every block of every leaf it reaches
+                        goes = [(np.repeat(rows[r], split[to]), np.tile(first[to] + np.arange(split[to]), len(r))) for r, to in tree.visits(x[rows], reach)] if len(rows) else []
                         q_at = np.concatenate([g[0] for g in goes]) if goes else np.zeros(0, np.int64)
                         q_to = np.concatenate([g[1] for g in goes]) if goes else np.zeros(0, np.int64)
                         away = q_to != home[q_at]
@@ -190,7 +200,12 @@ class Index:
         return found.groupBy("model", "rep_a", "rep_b").agg(F.max("cosine").alias("cosine"))
 
     def pairs(self, cosine: float = 0.9, factor: float = 6.0) -> DataFrame:
-        """(id_a, id_b) of all row pairs of at least ``cosine``, id_a < id_b, each once."""
+        """(id_a, id_b) of all row pairs of at least ``cosine``, id_a < id_b, each once.
+
+        All pairs of rows are what is asked for here, so copies are expanded;
+        where a vector may have many copies, take ``similar`` and ``members``,
+        which hold each class once.
+        """
         a = self.members.select("model", F.col("rep").alias("rep_a"), F.col("id").alias("of_a"))
         b = self.members.select("model", F.col("rep").alias("rep_b"), F.col("id").alias("of_b"))
         across = (

@@ -68,3 +68,37 @@ def test_factor_one_is_exact():
 def test_equal_points_end_in_one_leaf():
     assert len(Tree(np.ones((500, 4), np.float32) / 2, leaf=8).leaves) == 1 and len(Tree(np.zeros((0, 4), np.float32)).leaves) == 1
     assert chord(1.0) == 0
+
+
+def test_recall_over_many_shards(spark):
+    x = cloud(3000, 24, 4)
+    df = spark.createDataFrame([(i, "m", 1, v.tolist(), None, 1, 1) for i, v in enumerate(x)], SCHEMA)
+    index = Index(df, shard_rows=60)
+    assert len(index.routes["m"].leaves) > 30
+    got = index.nearest(F.col("id") % 50 == 0, 10, 2.5).collect()
+    hits = []
+    for i in range(0, 3000, 50):
+        s = x @ x[i]
+        s[i] = -2
+        hits.append(len({r.neighbour for r in got if r.id == i} & set(np.argsort(-s)[:10].tolist())) / 10)
+    assert len(hits) == 60 and np.mean(hits) >= 0.9
+    pairs = {(r.rep_a, r.rep_b) for r in index.similar(0.9, 1.0).collect()}
+    assert pairs == brute(x, list(range(3000)), 0.9)
+
+
+def test_split_shards_lose_nothing(spark):
+    x = cloud(800, 16, 6)
+    df = spark.createDataFrame([(i, "m", 1, v.tolist(), None, 1, 1) for i, v in enumerate(x)], SCHEMA)
+    # a sample too small for the shards wanted: every shard is cut into blocks
+    index = Index(df, sample_rows=16, shard_rows=20, most_rows=16)
+    assert index.blocks["m"].max() > 3
+    assert {(r.rep_a, r.rep_b) for r in index.similar(0.9, 1.0).collect()} == brute(x, list(range(800)), 0.9)
+    near = {}
+    for r in index.nearest(F.col("id") % 50 == 0, 5, 1.0).collect():
+        near.setdefault(r.id, set()).add(r.neighbour)
+    for i in range(0, 800, 50):
+        s = x @ x[i]
+        s[i] = -2
+        assert near[i] == set(np.argsort(-s)[:5].tolist())
+    sizes = index._routed(index.classes.select("rep", "model", "vec", F.lit(False).alias("asks")), "radius", (0, 0.1)).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in sizes) == 800 and max(r["count"] for r in sizes) <= 120
