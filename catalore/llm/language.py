@@ -13,11 +13,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Labelled texts per language that the dictionaries are fitted on, at most in expectation.
 SAMPLE_TEXTS = 250
@@ -28,24 +31,38 @@ DICTIONARY_BYTES = 64 << 10
 #: Bytes by which the best size must undercut the second for a part to count.
 MARGIN = 3
 
-#: ISO 639-1 code, then the 639-2 codes and English names that mean it.
-NOTATIONS = """
-en eng english|de deu ger german|fr fra fre french|es spa spanish castilian|pt por portuguese|it ita italian
-nl nld dut dutch flemish|sv swe swedish|pl pol polish|ru rus russian|ja jpn japanese|da dan danish
-nb nob norwegian|fi fin finnish|cs ces cze czech|sk slk slo slovak|hu hun hungarian|ro ron rum romanian
-tr tur turkish|el ell gre greek|uk ukr ukrainian|bg bul bulgarian|hr hrv croatian|sr srp serbian|ca cat catalan
-ar ara arabic|he heb hebrew|zh zho chi chinese|ko kor korean|hi hin hindi|vi vie vietnamese|th tha thai
+#: The bibliographic three-letter codes of ISO 639-2, and usual names beside the JVM's own.
+OTHER_NOTATIONS = """
+sq alb|hy arm|eu baq|my bur|zh chi|cs cze|nl dut flemish|fr fre|ka geo|de ger|el gre|is ice|mk mac|mi mao|ms may|fa per farsi|ro rum moldavian
+sk slo|bo tib|cy wel|es castilian|nb bokmål|nn nynorsk|ca valencian|no nor norwegian|zh mandarin|he iw|id in|yi ji
 """
-CODES = {word: entry.split()[0] for entry in NOTATIONS.replace("\n", "|").split("|") if entry.strip() for word in entry.split()}
+
+
+@cache
+def notations() -> dict[str, str]:
+    """Every notation of a language to its two-letter code: ISO 639-1, 639-2 (either kind) and English names.
+
+    The table is that of the JVM, which knows every two-letter code there is.
+    """
+    locale = SparkContext._active_spark_context._jvm.java.util.Locale
+    found: dict[str, str] = {}
+    for two in locale.getISOLanguages():
+        own = locale.forLanguageTag(two)
+        for word in (two, own.getISO3Language(), own.getDisplayLanguage(locale.ENGLISH).lower()):
+            found.setdefault(word, two)
+    for entry in OTHER_NOTATIONS.replace("\n", "|").split("|"):
+        two, *words = entry.split() or [""]
+        found |= {w: two for w in words}
+    return found
 
 
 def code(label):
     """Column: the two-letter code of a label in any usual notation, null if it names no language."""
     bare = F.lower(F.trim(label))
     head = F.element_at(F.split(bare, "[-_.@ (]"), 1)
-    known = F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair])
-    tagged = bare.rlike(r"^[a-z]{2,3}([-_.@][a-z0-9_.@-]+)?$") | bare.rlike(r"^[a-z]+( \([^)]*\))?$")
-    return F.when(tagged, F.try_element_at(known, head))
+    known = F.create_map(*[F.lit(x) for pair in notations().items() for x in pair])
+    tagged = bare.rlike(r"^[a-z]{2,3}([-_.@][a-z0-9_.@-]+)?$") | bare.rlike(r"^\p{L}+( \([^)]*\))?$")
+    return F.coalesce(F.try_element_at(known, bare), F.when(tagged, F.try_element_at(known, head)))
 
 
 _SPACE = re.compile(r"[^\W\d_]+|[\d_]+|\s+|[^\w\s]+")
@@ -185,6 +202,13 @@ def _dictionary(sentences: list[str], limit: int = DICTIONARY_BYTES) -> bytes:
     return "\n".join([b for s in kept if (b := bald(s)) != s] + kept).encode()[-limit:]
 
 
+@F.pandas_udf(StructType([StructField("half", IntegerType()), StructField("sentences", ArrayType(StringType()))]))
+def _sample(texts: pd.Series) -> pd.DataFrame:
+    """The half a text falls into and its first SAMPLE_PARTS sentences, folded."""
+    cut = [[s for a, b in parts(t)[:SAMPLE_PARTS] if len(s := fold(bare(t[a:b]))) >= 12] for t in texts]
+    return pd.DataFrame({"half": [hash_bit(t) for t in texts], "sentences": cut})
+
+
 def fit(texts: DataFrame, sample: int = SAMPLE_TEXTS, rounds: int = 3) -> Classifier:
     """Dictionaries from about ``sample`` labelled texts of each language that has at least 3.
 
@@ -199,10 +223,9 @@ def fit(texts: DataFrame, sample: int = SAMPLE_TEXTS, rounds: int = 3) -> Classi
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) < share * float(1 << 30)
     halves: list[dict[str, list[list[str]]]] = [{}, {}]
-    for r in labelled.where(draw).orderBy("id", "text").collect():
-        own = [s for a, b in parts(r["text"])[:SAMPLE_PARTS] if len(s := fold(bare(r["text"][a:b]))) >= 12]
-        if own:
-            halves[hash_bit(r["text"])].setdefault(r["lang"], []).append(own)
+    # texts are cut where they lie; at most sample x SAMPLE_PARTS sentences a language come here
+    for r in labelled.where(draw).select("id", "lang", _sample("text").alias("s")).where("size(s.sentences) > 0").orderBy("id", "s").collect():
+        halves[r["s"]["half"]].setdefault(r["lang"], []).append(list(r["s"]["sentences"]))
     langs = sorted(k for k in set(halves[0]) & set(halves[1]) if counts[k] >= 3)
     kept = [{k: [s for t in h[k] for s in t] for k in langs} for h in halves]
     for _ in range(rounds):

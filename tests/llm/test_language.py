@@ -44,7 +44,7 @@ def test_segments_cover_the_text(texts):
 
 
 def test_codes(spark):
-    given = {"en": "en", "EN": "en", "eng": "en", "en_GB": "en", "English": "en", "ger": "de", "de-AT": "de", "und": None, "": None, "n/a": None, "xx": None, "prompt:describe": None, None: None, "unknown": None}
+    given = {"en": "en", "EN": "en", "eng": "en", "en_GB": "en", "English": "en", "ger": "de", "de-AT": "de", "und": None, "": None, "n/a": None, "xx": None, "prompt:describe": None, None: None, "unknown": None, "la": "la", "et": "et", "Lithuanian": "lt", "fas": "fa", "per": "fa", "sq-AL": "sq", "Haitian Creole": "ht", "Norwegian (Bokmål)": "no", "Portuguese (Brazil)": "pt", "mul": None, "caption-long": None}
     got = spark.createDataFrame([(k,) for k in given], "l string").select("l", lang.code(F.col("l")).alias("c")).collect()
     assert {r.l: r.c for r in got} == given
 
