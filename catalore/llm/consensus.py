@@ -68,15 +68,54 @@ class _Parameters:
         self.copies: dict[tuple[int, int], float] = {}
 
 
+class _Belief:
+    """Posteriors of one batch, over the labels that an item's votes name and one class for all others.
+
+    ``pair`` gives each vote's place among the distinct (item, label) pairs, which
+    are sorted by item; labels nobody names share ``rest`` by their prior.
+    """
+
+    def __init__(self, item, what, prior):
+        self.n, self.prior = int(item.max()) + 1, prior
+        codes, self.pair = np.unique(item * len(prior) + what, return_inverse=True)
+        self.item, self.label = codes // len(prior), codes % len(prior)
+        self.first = np.searchsorted(self.item, np.arange(self.n))
+        self.unnamed = np.maximum(1.0 - np.bincount(self.item, prior[self.label], self.n), 1e-12)
+
+    def update(self, base, gain):
+        """Posteriors from every item's weight of wrong votes and every pair's gain."""
+        z = np.log(self.prior[self.label] + 1e-12) + base[self.item] + gain
+        rest = np.log(self.unnamed) + base
+        top = np.maximum(np.maximum.reduceat(z, self.first), rest)
+        self.z, self.rest = np.exp(z - top[self.item]), np.exp(rest - top)
+        whole = np.bincount(self.item, self.z, self.n) + self.rest
+        self.z, self.rest = self.z / whole[self.item], self.rest / whole
+
+    def best(self):
+        """(label, posterior) of each item among the named ones; ties go to the first label."""
+        order = np.lexsort((self.label, -self.z, self.item))
+        at = order[np.searchsorted(self.item[order], np.arange(self.n))]
+        return self.label[at], self.z[at]
+
+    def totals(self):
+        """Expected items of each label."""
+        share = self.rest / self.unnamed
+        k = len(self.prior)
+        named = np.bincount(self.label, self.z - self.prior[self.label] * share[self.item], k)
+        return np.maximum(named + self.prior * share.sum(), 0.0)
+
+
 def _posteriors(x, item, who, what, sure, p, inner=8):
-    """Posterior (items, labels), ease, and per vote: its posterior, right chance, weight."""
-    n, k = int(item.max()) + 1, len(p.prior[x])
+    """Belief, ease, and per vote: its posterior, right chance, weight."""
+    k = len(p.prior[x])
+    belief = _Belief(item, what, p.prior[x])
+    n = belief.n
     strength = p.alpha[x][who] + p.gamma[x][who] * sure
     weight = np.ones(len(item))
     if p.copies:
         # a vote repeats those of abler annotators of the same item and label
         order = np.lexsort((-p.alpha[x][who], what, item))
-        same = item[order] * k + what[order]
+        same = belief.pair[order]
         step = 1
         while True:
             hit = np.flatnonzero(same[step:] == same[:-step]) if step < len(same) else np.zeros(0, int)
@@ -92,16 +131,12 @@ def _posteriors(x, item, who, what, sure, p, inner=8):
         logit = ease[item] * strength
         s = 1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30)))
         right, wrong = np.log(s + 1e-12), np.log(1.0 - s + 1e-12) - np.log(max(k - 1, 1))
-        z = np.tile(np.log(p.prior[x] + 1e-12), (n, 1))
-        z += np.bincount(item, weight * wrong, n)[:, None]
-        z += np.bincount(item * k + what, weight * (right - wrong), n * k).reshape(n, k)
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
-        hit = z[item, what]
+        belief.update(np.bincount(item, weight * wrong, n), np.bincount(belief.pair, weight * (right - wrong), len(belief.item)))
+        hit = belief.z[belief.pair]
         slope = np.bincount(item, weight * (hit - s) * logit, n) - b
         curve = np.bincount(item, weight * s * (1 - s) * logit * logit, n) + 1.0
         b = np.clip(b + 0.5 * slope / curve, -2, 2)
-    return z, np.exp(b), hit, s, weight
+    return belief, np.exp(b), hit, s, weight
 
 
 def _unpack(batch, p):
@@ -125,14 +160,14 @@ def _unpack(batch, p):
 def _sums(p):
     def run(batches):
         n, parts = len(p.annotators), {}
-        joint: dict[tuple[int, int, int], np.ndarray] = {}
+        joint: dict[int, np.ndarray] = {}
         for batch in batches:
             for x, _, item, who, what, sure in _unpack(batch, p):
-                z, ease, hit, s, w = _posteriors(x, item, who, what, sure, p)
+                belief, ease, hit, s, w = _posteriors(x, item, who, what, sure, p)
                 e = ease[item]
                 sums = np.stack([np.bincount(who, v, n) for v in (w * (hit - s) * e, w * s * (1 - s) * e * e, w * (hit - s) * e * sure, w * s * (1 - s) * (e * sure) ** 2, hit, np.ones(len(hit)))])
                 old = parts.get(x)
-                parts[x] = [sums, z.sum(0)] if old is None else [old[0] + sums, old[1] + z.sum(0)]
+                parts[x] = [sums, belief.totals()] if old is None else [old[0] + sums, old[1] + belief.totals()]
                 order = np.argsort(item, kind="stable")
                 step = 1
                 while step < len(order):
@@ -141,16 +176,18 @@ def _sums(p):
                         break
                     u, v = order[at], order[at + step]
                     equal = what[u] == what[v]
-                    zu, zv = z[item[u], what[u]], z[item[u], what[v]]
+                    zu, zv = hit[u], hit[v]
                     miss = np.where(equal, 1 - zu, np.maximum(1 - zu - zv, 0))
                     code = np.minimum(who[u], who[v]) * n + np.maximum(who[u], who[v])
-                    for c in np.unique(code[who[u] != who[v]]).tolist():
-                        m = code == c
-                        joint[(x, c // n, c % n)] = joint.get((x, c // n, c % n), np.zeros(4)) + [miss[m & equal].sum(), miss[m].sum(), (m & equal).sum(), m.sum()]
+                    named, at = np.unique(code, return_inverse=True)
+                    four = np.stack([np.bincount(at, v, len(named)) for v in (miss * equal, miss, equal, np.ones(len(at)))], 1)
+                    for c, v in zip(named.tolist(), four):
+                        if c // n != c % n:
+                            joint[c] = joint.get(c, 0.0) + v
                     step += 1
         out = [(x, "who", i, -1, *sums[:, i].tolist()) for x, (sums, _) in parts.items() for i in range(n) if sums[5, i]]
         out += [(x, "label", i, -1, float(v), 0.0, 0.0, 0.0, 0.0, 0.0) for x, (_, prior) in parts.items() for i, v in enumerate(prior)]
-        out += [(x, "pair", i, j, *v.tolist(), 0.0, 0.0) for (x, i, j), v in joint.items()]
+        out += [(-1, "pair", c // n, c % n, *v.tolist(), 0.0, 0.0) for c, v in joint.items()]
         if out:
             names = ["x", "what", "i", "j", "a", "b", "c", "d", "e", "f"]
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 6]
@@ -163,12 +200,12 @@ def _answers(p):
     def run(batches):
         for batch in batches:
             for x, rows, item, who, what, sure in _unpack(batch, p):
-                z, ease, *_ = _posteriors(x, item, who, what, sure, p)
-                best = z.argmax(1)
-                n, k = len(rows), z.shape[1]
-                seen = np.bincount(item * k + what, minlength=n * k).reshape(n, k)
-                count = seen.sum(1)
-                same = (seen * (seen - 1)).sum(1) / np.maximum(count * (count - 1), 1)
+                belief, ease, *_ = _posteriors(x, item, who, what, sure, p)
+                best, posterior = belief.best()
+                n = len(rows)
+                seen = np.bincount(belief.pair)
+                count = np.bincount(belief.item, seen, n).astype(np.int64)
+                same = np.bincount(belief.item, seen * (seen - 1), n) / np.maximum(count * (count - 1), 1)
                 # agreement beyond what the attribute's label shares would give by chance
                 by_chance = float((p.prior[x] ** 2).sum())
                 kappa = np.where(count > 1, (same - by_chance) / max(1 - by_chance, 1e-12), np.nan)
@@ -177,10 +214,10 @@ def _answers(p):
                         batch.column("item_id").take(pa.array(rows)),
                         pa.array([p.attributes[x]] * n, pa.string()),
                         pa.array([p.labels[p.attributes[x]][i] for i in best], pa.string()),
-                        pa.array(z[np.arange(n), best]),
+                        pa.array(posterior),
                         pa.array(kappa, mask=count < 2),
                         pa.array(1.0 / ease),
-                        pa.array((seen > 0).sum(1), pa.int64()),
+                        pa.array(np.bincount(belief.item, minlength=n), pa.int64()),
                         pa.array(count, pa.int64()),
                     ],
                     ["item_id", "namespace", "name", "posterior", "agreement", "difficulty", "labels", "votes"],
@@ -208,11 +245,13 @@ class Consensus:
         packed = scaled.groupBy("item_id", "namespace").agg(F.sort_array(F.collect_list(F.struct("annotator", "name", "sure"))).alias("votes"))
         self.packed = cut_lineage(packed)
         flat = self.packed.select("namespace", F.explode("votes").alias("v")).select("namespace", "v.annotator", "v.name")
-        names = flat.distinct().collect()  # annotators x labels, both dimension tables
+        named = flat.select("namespace", "name", F.lit(None).cast("long").alias("annotator")).distinct()
+        named = named.unionByName(flat.select(F.lit(None).cast("string").alias("namespace"), F.lit(None).cast("string").alias("name"), "annotator").distinct())
+        names = named.collect()  # the labels and the annotators, both dimension tables
         labels: dict[str, list[str]] = {}
-        for r in sorted({(r["namespace"], r["name"]) for r in names}):
+        for r in sorted((r["namespace"], r["name"]) for r in names if r["namespace"] is not None):
             labels.setdefault(r[0], []).append(r[1])
-        self.p = _Parameters(sorted({r["annotator"] for r in names}), labels)
+        self.p = _Parameters(sorted(r["annotator"] for r in names if r["annotator"] is not None), labels)
         self.quality = {}
         for at in range(passes if names else 0):
             self._pass(at)
@@ -221,29 +260,30 @@ class Consensus:
         """One round. The first only finds annotators that are as good as one, lest a crowd of copies pass for skill."""
         p = self.p
         sums = self.packed.mapInArrow(_sums(p), "x long, what string, i long, j long, a double, b double, c double, d double, e double, f double")
-        got = sums.groupBy("x", "what", "i", "j").agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()
-        joint: dict[tuple[int, int], np.ndarray] = {}
+        total = sums.groupBy("x", "what", "i", "j").agg(*[F.sum(c).alias(c) for c in "abcdef"])
+        chance = 1.0 / max(min((len(v) for v in p.prior), default=2) - 1, 1)
+        # of all pairs of annotators only the dependent ones come here
+        if at < 3:
+            dependent = (F.col("d") >= LEAST_JOINT) & (F.col("c") >= IDENTICAL * F.col("d"))
+        else:
+            dependent = (F.col("a") + 10 * chance) / (F.col("b") + 10) - chance > DEPENDENT * (1 - chance)
+        rows = total.where((F.col("what") != "pair") | dependent).collect()
         prior = [np.zeros_like(v) for v in p.prior]
-        for r in got:
+        p.copies = {}
+        alpha, gamma = p.alpha.copy(), p.gamma.copy()
+        for r in rows:
             x, i = r["x"], r["i"]
             if r["what"] == "who":
                 if at:
-                    p.alpha[x, i] += float(np.clip((r["a"] - 0.05 * p.alpha[x, i]) / (r["b"] + 0.05), -1.5, 1.5))
-                    p.gamma[x, i] += float(np.clip((r["c"] - 0.5 * p.gamma[x, i]) / (r["d"] + 0.5), -1, 1))
+                    alpha[x, i] += float(np.clip((r["a"] - 0.05 * alpha[x, i]) / (r["b"] + 0.05), -1.5, 1.5))
+                    gamma[x, i] += float(np.clip((r["c"] - 0.5 * gamma[x, i]) / (r["d"] + 0.5), -1, 1))
                 self.quality[(x, i)] = (r["e"], r["f"])
             elif r["what"] == "label":
                 prior[x][i] += r["a"]
-            else:
-                joint[(i, r["j"])] = joint.get((i, r["j"]), np.zeros(4)) + [r["a"], r["b"], r["c"], r["d"]]
+            elif chance < 1 or at < 3:
+                p.copies[(i, r["j"])] = 1.0 if at < 3 else ((r["a"] + 10 * chance) / (r["b"] + 10) - chance) / (1 - chance)
         p.prior = [(v + 1) / (v + 1).sum() for v in prior]
-        p.alpha, p.gamma = np.clip(p.alpha, -4, 6), np.clip(p.gamma, -3, 3)
-        if at < 3:
-            self.p.copies = {key: 1.0 for key, (_, _, same, both) in joint.items() if both >= LEAST_JOINT and same >= IDENTICAL * both}
-            return
-        chance = 1.0 / max(min((len(v) for v in p.prior), default=2) - 1, 1)
-        shares = {key: (same + 10 * chance) / (both + 10) for key, (same, both, _, _) in joint.items()}
-        excess = {key: (v - chance) / (1 - chance) for key, v in shares.items() if chance < 1}
-        p.copies = {key: v for key, v in excess.items() if v > DEPENDENT}
+        p.alpha, p.gamma = np.clip(alpha, -4, 6), np.clip(gamma, -3, 3)
 
     def labels(self) -> DataFrame:
         """One row per item and attribute: label, posterior, agreement beyond chance, difficulty."""
