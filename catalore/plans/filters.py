@@ -64,10 +64,15 @@ def match_path(ctx: DataFrame, args: dict, state) -> DataFrame:
     """Full-text match on path or filename, ranked by BM25."""
     corpus = state.catalog["files"].select(F.col("id").alias("file_id"), "path", "filename")
     searched = ["filename"] if args["filename_only"] else ["path", "filename"]
+    tree = fts.known_columns(_tree(args), ["path", "filename"])
+    index = state.catalog.text_indexes.get("files")
+    if index is not None:
+        hits = index.search(tree, searched).select(F.col("key").alias("file_id"), F.col("rank").alias("order_rank"))
+        return ctx.join(hits, "file_id", "left_semi") if state.counting else ctx.join(hits, "file_id").select(*ctx.columns, "order_rank")
     if state.counting:
-        hits = corpus.where(fts.matches(_tree(args), [F.col(c) for c in searched])).select("file_id")
+        hits = corpus.where(fts.matches(tree, searched)).select("file_id")
         return ctx.join(hits, "file_id", "left_semi")
-    hits = fts.bm25(corpus, _tree(args), searched, ["path", "filename"]).select("file_id", F.col("rank").alias("order_rank"))
+    hits = fts.bm25(corpus, tree, searched, ["path", "filename"]).select("file_id", F.col("rank").alias("order_rank"))
     return ctx.join(hits, "file_id").select(*ctx.columns, "order_rank")
 
 
@@ -99,11 +104,14 @@ def match_text(ctx: DataFrame, args: dict, state) -> DataFrame:
     made = cat["item_data"].select(F.col("id").alias("data_id"), "item_id", "setter_id")
     plain = args["filter_only"] or not (args["match"] or "").strip()
     ranked = not (plain or state.counting)
-    tree = None if plain else _tree(args)
-    if ranked:
+    tree = None if plain else fts.known_columns(_tree(args), ["text"])
+    index = cat.text_indexes.get("extracted_text")
+    if index is not None and not plain:
+        hits = corpus.join(index.search(tree).withColumnRenamed("key", "data_id"), "data_id")
+    elif ranked:
         hits = fts.bm25(corpus, tree, ["text"])
     else:
-        hits = corpus if plain else corpus.where(fts.matches(tree, [F.col("text")]))
+        hits = corpus if plain else corpus.where(fts.matches(tree, ["text"]))
         hits = hits.withColumn("rank", F.lit(1.0))
     keep = hits.where(_text_criteria({k: v for k, v in args.items() if k != "setters"}))
     snip = fts.snippet(F.col("text"), tree, args["s_max_len"], args["s_start_tag"], args["s_end_tag"], args["s_ellipsis"]) if ranked and args["select_snippet_as"] else None

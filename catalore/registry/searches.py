@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalore.functions import vectors
 from catalore.operators import quants
+from catalore.operators.textindex import TextIndex
 from catalore.plans.compile import counted, item_set, search
 from catalore.plans.service import existing_paths, without_outro
 from catalore.operators.user import annotate
@@ -157,6 +158,26 @@ def registered():
         select file_id, item_id, data_id, round(rank, 6) rank from std join h on h.id = std.data_id where setter_name in ('ocr/linocut', 'ocr/galley') and language in ('en', 'de') and confidence >= 0.6 and text_length between 50 and 1500""", ["rank"])
     add("match_text_filter_only", {"query": {"match_text": {"match": "", "filter_only": True, "languages": ["fr"], "min_language_confidence": 0.9}}, "select": [], "page_size": ALL}, f"""
         with {FILES}, {TEXTS} select file_id, item_id from std where item_id in (select d.item_id from et e join item_data d on d.id = e.id join setters s on s.id = d.setter_id where e.language = 'fr' and e.language_confidence >= 0.9)""", count=True)
+    # the same from postings, with NEAR and column filters
+    texts_indexed = lambda spark, d: (c := catalog(spark, d)).indexed(extracted_text=TextIndex.build(c["extracted_text"], "id", ["text"]))
+    paths_indexed = lambda spark, d: (c := catalog(spark, d)).indexed(files=TextIndex.build(c["files"], "id", ["path", "filename"]))
+    once = "et as (select id, max(text) \"text\" from extracted_text group by 1)"
+    add("match_text_indexed", {"query": {"match_text": {"match": "winter AND album"}, "select_as": "rank"}, "select": [], "page_size": ALL}, f"""
+        with {FILES}, {once}, h as ({text_rank}), b as (select d.item_id, min(h.rank) rank from h join item_data d on d.id = h.id join setters s on s.id = d.setter_id group by 1)
+        select file_id, std.item_id, round(rank, 6) rank from std join b on b.item_id = std.item_id""", ["rank"], make=texts_indexed)
+    add("match_path_indexed", {"query": {"match_path": {"match": "lantern"}, "select_as": "rank"}, "select": [], "page_size": ALL}, f"with {FILES}, h as ({path_rank}) select file_id, item_id, round(rank, 6) rank from std join h using (file_id)", ["rank"], make=paths_indexed)
+    column_rank = bm25("(select id file_id, path, filename from files)", "file_id", ["path", "filename"], ["gallery"], ["filename"])
+    add("match_path_column", {"query": {"match_path": {"match": "filename: gallery"}, "select_as": "rank"}, "select": [], "page_size": ALL}, f"with {FILES}, h as ({column_rank}) select file_id, item_id, round(rank, 6) rank from std join h using (file_id)", ["rank"])
+    column_not = f"{files} where contains(lower(path), 'vol1') and not coalesce(contains(lower(filename), 'lantern'), false)"
+    add("match_path_column_not", {"query": {"match_path": {"match": "- filename: vol1 NOT {filename} : lantern"}}, "select": [], "page_size": ALL}, column_not, count=True, make=paths_indexed)
+    spots = lambda word: f"list_filter(range(1, length(lower(text))), lambda i: substr(lower(text), i, {len(word)}) = '{word}')"
+    near_sql = f"""with {FILES}, {TEXTS}, p as (select id, unnest({spots('winter')}) a, {spots('album')} bs from et where contains(lower(text), 'winter') and contains(lower(text), 'album')),
+        q as (select id, a, unnest(bs) b from p), hit as (select distinct id from q where (b >= a and a + 4 + 3 >= b) or (a >= b and b + 3 + 3 >= a))
+        select file_id, item_id from std where item_id in (select d.item_id from hit join item_data d on d.id = hit.id join setters s on s.id = d.setter_id)"""
+    add("match_text_near", {"query": {"match_text": {"match": "NEAR(winter album, 3)"}}, "select": [], "page_size": ALL}, near_sql, count=True)
+    add("match_text_near_indexed", {"query": {"match_text": {"match": "NEAR(winter album, 3)"}}, "select": [], "page_size": ALL}, near_sql, make=texts_indexed)
+    out["text_postings"] = (lambda spark, d: TextIndex.build(catalog(spark, d)["extracted_text"], "id", ["text"]).postings.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size("at")).alias("n"))), f"""
+        with {once}, g as (select id, unnest(list_transform(range(1, length(lower(text)) - 1), lambda i: substr(lower(text), i, 3))) gram from et where length(text) >= 3) select gram, count(distinct id) texts, count(*) n from g group by 1"""
     piece = "greatest(1, least(strpos(lower(text), 'lantern') - 14, length(text) - 31))"
     add("match_text_snippet", {"entity": "text", "query": {"match_text": {"match": "lantern", "select_snippet_as": "snip"}}, "select": [], "page_size": ALL}, f"""
         with {TEXT_ROWS}, p as (select *, {piece} b from std where contains(lower(text), 'lantern'))

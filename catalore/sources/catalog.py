@@ -53,6 +53,8 @@ class Catalog:
         if unknown := self.absent - set(SCHEMAS):
             raise ValueError(f"no such tables: {sorted(unknown)}")
         self._tables = dict(tables or {})
+        #: Full-text indexes by the table they were made from; such a table is searched by scanning it where there is none.
+        self.text_indexes: dict = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
@@ -69,7 +71,15 @@ class Catalog:
 
     def but(self, **tables: DataFrame) -> "Catalog":
         """A copy with some tables replaced."""
-        return Catalog(self.spark, self.folder, self._tables | tables, self.absent)
+        out = Catalog(self.spark, self.folder, self._tables | tables, self.absent)
+        out.text_indexes = {k: v for k, v in self.text_indexes.items() if k not in tables}
+        return out
+
+    def indexed(self, **indexes) -> "Catalog":
+        """A copy with full-text indexes of some tables."""
+        out = self.but()
+        out.text_indexes |= indexes
+        return out
 
     @cached_property
     def texts(self) -> DataFrame:

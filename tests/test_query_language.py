@@ -94,18 +94,25 @@ def test_fts_syntax():
     assert fts.parse("a OR b AND c NOT d") == fts.Either(fts.Phrase("a"), fts.Both(fts.Phrase("b"), fts.Without(fts.Phrase("c"), fts.Phrase("d"))))
     assert fts.parse('"two ""words""" (x OR y*)') == fts.Both(fts.Phrase('two "words"'), fts.Either(fts.Phrase("x"), fts.Phrase("y")))
     assert fts.parse("ab + cd") == fts.Phrase("abcd")
-    for bad in ("(a", "AND a", "a OR", "NEAR(a b)", "path: a", '"open', ")", "a +"):
+    for bad in ("(a", "AND a", "a OR", "NEAR()", "NEAR(a b, x)", "NEAR(a b", "{a b} c", "{} : c", "- a", "a:", '"open', ")", "a +"):
         with pytest.raises(fts.QueryError):
             fts.parse(bad)
+    assert fts.parse("NEAR(a b, 5)") == fts.parse("NEAR(a b,5)") == fts.parse("NEAR(a b , 5)") == fts.Near((fts.Phrase("a"), fts.Phrase("b")), 5) and fts.parse('NEAR("a b" c)').most == 10
+    assert fts.parse("path: a b") == fts.Both(fts.Phrase("a", ((("path",), False),)), fts.Phrase("b"))
+    assert fts.parse("- {path name} : (a OR b)") == fts.Either(fts.Phrase("a", ((("path", "name"), True),)), fts.Phrase("b", ((("path", "name"), True),)))
+    assert fts.parse("near AND NEAR") == fts.Both(fts.Phrase("near"), fts.Phrase("NEAR"))
     assert fts.escape('some "two words" more') == '"some" "two words" "more"' and fts.escape('odd " quote') == '"odd" " quote"' and fts.escape("it's") == '"it\'s"'
 
 
 def test_fts_matching(spark):
     rows = spark.createDataFrame([(1, "Winter Album"), (2, "the winter"), (3, "ab"), (4, None), (5, ""), (6, "ananas banana")], "id long, t string")
-    hit = lambda q: sorted(r.id for r in rows.where(fts.matches(fts.parse(q), [F.col("t")])).collect())
+    hit = lambda q: sorted(r.id for r in rows.where(fts.matches(fts.parse(q), ["t"])).collect())
     assert hit("WINTER") == [1, 2] and hit("winter album") == [1] and hit("winter NOT album") == [2] and hit("ab") == [] and hit("bum OR nana") == [1, 6]
     ranked = fts.bm25(rows, fts.parse("ana"), ["t"]).collect()
     assert [r.id for r in ranked] == [6] and ranked[0]["rank"] < 0
+    assert hit("NEAR(winter album, 2)") == [] and hit("NEAR(winter album, 3)") == [1] and hit("NEAR(album winter)") == [1] and hit("t: winter NOT t: album") == [2]
+    with pytest.raises(QueryError):
+        fts.bm25(rows, fts.parse("u: winter"), ["t"])
     marked = rows.where("id = 1").select(fts.snippet(F.col("t"), fts.parse("album"), 30).alias("s")).first().s
     assert marked == "Winter <b>Album</b>"
 
