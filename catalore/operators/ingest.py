@@ -49,6 +49,21 @@ def scan_decisions(cat: Catalog, listing: DataFrame, rules: dict | None = None)
     return joined.withColumn("decision", decision).drop("_blocked", "_seen", "filename", "size")
 
 
+#: What is known of a file once it has been hashed and looked into.
+MEDIA_FACTS = ("path", "filename", "size", "last_modified", "type", "sha256", "md5", "width", "height", "duration", "audio_tracks", "video_tracks", "subtitle_tracks")
+
+
+def media_allowed(scanned_files: DataFrame, rules: dict | None = None) -> DataFrame:
+    """The second look at scanned files, with ``allowed``: the rules on hashes and media facts, too.
+
+    A fact that the scan does not deliver, or that is null for a file, is not
+    judged, as in the first look.
+    """
+    tree = prune(element(rules)) if rules else None
+    passes = _scanned(tree, set(MEDIA_FACTS) & set(scanned_files.columns)) if tree is not None else F.lit(True)
+    return scanned_files.withColumn("allowed", passes)
+
+
 def _scanned(node, fields: set[str]) -> Column:
     """A rule tree over scanned records; only attribute predicates can judge them."""
     if isinstance(node, Group):
@@ -184,7 +199,9 @@ def inputs(cat: Catalog, keys: DataFrame, handler: str, most_frames: int = 4) ->
 
     extracted_text: (data_id, item_id, text); md5: (item_id, md5); sha256_md5_path:
     (item_id, sha256, md5, path), an available path first; image_frames: (item_id,
-    frame, path), one row a frame of up to ``most_frames`` slices of a video.
+    frame, path), one row a frame of up to ``most_frames`` slices of a video;
+    md5_image: the same with the md5; audio_tracks and audio_files: (item_id, path,
+    duration) of items that hold sound, one row each, as their tracks are mixed.
     """
     if handler == "extracted_text":
         return cat.texts.join(keys.select("data_id"), "data_id", "left_semi").select("data_id", "item_id", "text")
@@ -195,9 +212,12 @@ def inputs(cat: Catalog, keys: DataFrame, handler: str, most_frames: int = 4) ->
     placed = items.join(paths, "id")
     if handler == "sha256_md5_path":
         return placed.select(F.col("id").alias("item_id"), "sha256", "md5", "path")
-    if handler == "image_frames":
+    if handler in ("audio_tracks", "audio_files"):
+        sounding = (F.col("audio_tracks") > 0) | F.col("audio_tracks").isNull() & F.col("type").startswith("audio/")
+        return placed.where(sounding).select(F.col("id").alias("item_id"), "path", "duration")
+    if handler in ("image_frames", "md5_image"):
         frames = F.when(F.col("type").startswith("video/"), F.sequence(F.lit(0), F.lit(most_frames - 1))).otherwise(F.array(F.lit(0)))
-        return placed.select(F.col("id").alias("item_id"), F.explode(frames).alias("frame"), "path")
+        return placed.select(F.col("id").alias("item_id"), F.explode(frames).alias("frame"), "path", *(["md5"] if handler == "md5_image" else []))
     raise ValueError(f"unknown input handler {handler!r}")
 
 

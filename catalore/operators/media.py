@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
 #: Colour of a card, tolerances, shares, seconds, frames a second.
 CARD, NEAR_CARD, NEAR_OWN, OWN_SHARE, RUN_SHARE = (12, 13, 25), 8.0, 12.0, 0.45, 0.90
@@ -63,3 +67,42 @@ def blurhash(pixels: np.ndarray, nx: int = 4, ny: int = 3) -> str:
     scale = (top + 1) / 166
     coded = np.clip(np.floor(np.sign(rest) * np.sqrt(np.abs(rest / scale)) * 9 + 9.5), 0, 18).astype(int)
     return _digits(nx - 1 + (ny - 1) * 9, 1) + _digits(top, 1) + _digits(int(mean[0]) << 16 | int(mean[1]) << 8 | int(mean[2]), 4) + "".join(_digits(int(a * 361 + b * 19 + d), 2) for a, b, d in coded)
+
+
+def outros(videos: DataFrame) -> DataFrame:
+    """(item_id, content_end_ms, outro_kind, reason) of (item_id, frames, height, width, duration_ms).
+
+    ``frames`` holds the last frames of a video as RGB bytes, one after the
+    other. Without a card, or without a whole frame, the first two are null.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, frames, height, width, length in zip(*[batch[c] for c in ("item_id", "frames", "height", "width", "duration_ms")]):
+                size = 3 * int(height) * int(width) if pd.notna(height) and pd.notna(width) else 0
+                raw = bytes(frames) if frames is not None else b""
+                if not size or len(raw) < size or len(raw) % size:
+                    rows.append((item, None, None, "no frames"))
+                    continue
+                run_s, reason = outro(np.frombuffer(raw, np.uint8).reshape(-1, int(height), int(width), 3))
+                end = None if run_s is None or pd.isna(length) else max(int(length) - round(1000 * run_s), 0)
+                rows.append((item, end, None if run_s is None else "card", reason))
+            yield pd.DataFrame(rows, columns=["item_id", "content_end_ms", "outro_kind", "reason"]).astype({"content_end_ms": "Int64"})
+
+    return videos.select("item_id", "frames", "height", "width", "duration_ms").mapInPandas(run, "item_id long, content_end_ms long, outro_kind string, reason string")
+
+
+def blurhashes(pictures: DataFrame, nx: int = 4, ny: int = 3) -> DataFrame:
+    """(item_id, blurhash) of (item_id, pixels, height, width), pixels as RGB bytes; null where they don't fit the size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            codes = []
+            for pixels, height, width in zip(batch["pixels"], batch["height"], batch["width"]):
+                size = 3 * int(height) * int(width) if pd.notna(height) and pd.notna(width) else 0
+                whole = size and pixels is not None and len(pixels) == size
+                codes.append(blurhash(np.frombuffer(bytes(pixels), np.uint8).reshape(int(height), int(width), 3), nx, ny) if whole else None)
+            yield pd.DataFrame({"item_id": batch["item_id"], "blurhash": codes})
+
+    return pictures.select("item_id", "pixels", "height", "width").mapInPandas(run, "item_id long, blurhash string")

@@ -122,6 +122,34 @@ def combined(vectors: list, at: int) -> list[list[float]]:
     return x + [np.mean(x, axis=0).tolist()] if at != -1 and len(x) >= at else x
 
 
+def chunks(texts: DataFrame, size: int) -> DataFrame:
+    """(source_id, chunk, tokens): the runs of ``chunk_tokens`` of every row of (source_id, tokens), by built-in functions.
+
+    No tokens are one empty run, null ones none.
+    """
+    n = F.size("tokens")
+    last = F.greatest(F.ceil(n / F.lit(size)).cast("int") - 1, F.lit(0))
+    # how far the last run reaches back into the one before
+    lack = F.when(last > 0, F.greatest(F.lit(size // 3) - (n - last * size), F.lit(0))).otherwise(F.lit(0))
+    spans = texts.where("tokens is not null").select("source_id", "tokens", n.alias("_n"), last.alias("_last"), lack.alias("_lack"), F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    begin = F.col("chunk") * size - F.when(F.col("chunk") == F.col("_last"), F.col("_lack")).otherwise(0)
+    end = F.when(F.col("chunk") == F.col("_last"), F.col("_n")).otherwise((F.col("chunk") + 1) * size - F.when(F.col("chunk") == F.col("_last") - 1, F.col("_lack")).otherwise(0))
+    return spans.select("source_id", "chunk", F.slice("tokens", begin + 1, end - begin).alias("tokens"))
+
+
+def combined_vectors(rows: DataFrame, at: int) -> DataFrame:
+    """``rows`` (source_id, chunk, embedding) plus, from ``at`` chunks on, their mean as a last chunk; -1 adds none.
+
+    Means combine map-side by place in the vector; vectors of one source have one length.
+    """
+    plain = rows.select("source_id", F.col("chunk").cast("int").alias("chunk"), F.col("embedding").cast("array<double>").alias("embedding"))
+    if at == -1:
+        return plain
+    each = plain.select("source_id", F.posexplode("embedding").alias("place", "value")).groupBy("source_id", "place").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    means = each.where(F.col("n") >= at).groupBy("source_id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "value"))).alias("v"))
+    return plain.unionByName(means.select("source_id", F.col("n").cast("int").alias("chunk"), F.col("v.value").alias("embedding")))
+
+
 @dataclass
 class Extractor:
     """A model plug-in: what it reads, what it makes, and a function over batches of inputs."""

@@ -6,6 +6,6 @@ def registered():
     from importlib import import_module
 
     found = {}
-    for part in ("statistics", "searches", "dataflows"):
+    for part in ("statistics", "searches", "dataflows", "more"):
         found |= import_module(f"catalore.registry.{part}").registered()
     return found
