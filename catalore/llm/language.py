@@ -56,13 +56,25 @@ def notations() -> dict[str, str]:
     return found
 
 
+_TAG = re.compile(r"[a-z]{2,3}([-_.@][a-z0-9_.@-]+)?|[^\W\d_]+( \([^)]*\))?")
+
+
 def code(label):
     """Column: the two-letter code of a label in any usual notation, null if it names no language."""
-    bare = F.lower(F.trim(label))
-    head = F.element_at(F.split(bare, "[-_.@ (]"), 1)
-    known = F.create_map(*[F.lit(x) for pair in notations().items() for x in pair])
-    tagged = bare.rlike(r"^[a-z]{2,3}([-_.@][a-z0-9_.@-]+)?$") | bare.rlike(r"^\p{L}+( \([^)]*\))?$")
-    return F.coalesce(F.try_element_at(known, bare), F.when(tagged, F.try_element_at(known, head)))
+    known = notations()
+
+    def one(given: str | None) -> str | None:
+        bare = given.strip(" ").lower()
+        if bare in known:
+            return known[bare]
+        return known.get(re.split("[-_.@ (]", bare, maxsplit=1)[0]) if _TAG.fullmatch(bare) else None
+
+    @F.pandas_udf(StringType())
+    def run(labels: pd.Series) -> pd.Series:
+        # labels are few: each is looked up once a batch
+        return labels.map({x: one(x) for x in labels.unique() if x is not None}).astype(object)
+
+    return run(label)
 
 
 _SPACE = re.compile(r"[^\W\d_]+|[\d_]+|\s+|[^\w\s]+")
