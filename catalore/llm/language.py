@@ -228,7 +228,7 @@ def fit(texts: DataFrame, sample: int = SAMPLE_TEXTS, rounds: int = 3) -> Classi
     the other's dictionaries, and only texts that get their label back as a
     whole go into the next round's, without sentences of another language.
     """
-    labelled = texts.select("id", "text", code(F.col("language")).alias("lang")).where("lang is not null and text is not null")
+    labelled = texts.select("id", "text", code(F.col("language")).alias("lang")).where("lang is not null and text is not null and id is not null")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
@@ -236,8 +236,10 @@ def fit(texts: DataFrame, sample: int = SAMPLE_TEXTS, rounds: int = 3) -> Classi
     draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30)) < share * float(1 << 30)
     halves: list[dict[str, list[list[str]]]] = [{}, {}]
     # texts are cut where they lie; at most sample x SAMPLE_PARTS sentences a language come here
-    for r in labelled.where(draw).select("id", "lang", _sample("text").alias("s")).where("size(s.sentences) > 0").orderBy("id", "s").collect():
-        halves[r["s"]["half"]].setdefault(r["lang"], []).append(list(r["s"]["sentences"]))
+    drawn = labelled.where(draw).select("id", "lang", _sample("text").alias("s")).collect()
+    for r in sorted(drawn, key=lambda r: (r["id"], r["s"]["sentences"])):
+        if r["s"]["sentences"]:
+            halves[r["s"]["half"]].setdefault(r["lang"], []).append(list(r["s"]["sentences"]))
     langs = sorted(k for k in set(halves[0]) & set(halves[1]) if counts[k] >= 3)
     kept = [{k: [s for t in h[k] for s in t] for k in langs} for h in halves]
     for _ in range(rounds):
