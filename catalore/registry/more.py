@@ -55,8 +55,8 @@ def registered():
         with c as (select id item_id, ('0x' || substr(sha256, 1, 6))::bigint rgb from items where sha256 is not null)
         select item_id, '00' || {digit(3)} || {digit(2)} || {digit(1)} || {digit(0)} blurhash from c"""
 
-    words = F.split("text", " ", -1)
-    out["text_chunks"] = (lambda spark, d: outputs.chunks(table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), words.alias("tokens")), CHUNK).select("source_id", F.col("chunk").cast("long").alias("chunk"), F.size("tokens").cast("long").alias("n"), F.array_join("tokens", " ").alias("text"))), f"""
+    words = lambda: F.split("text", " ", -1)
+    out["text_chunks"] = (lambda spark, d: outputs.chunks(table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), words().alias("tokens")), CHUNK).select("source_id", F.col("chunk").cast("long").alias("chunk"), F.size("tokens").cast("long").alias("n"), F.array_join("tokens", " ").alias("text"))), f"""
         with w as (select doc_id source_id, string_split("text", ' ') t from documents where "text" is not null), n as (select *, len(t) n, (len(t) - 1) // {CHUNK} k from w),
         l as (select *, case when k > 0 then greatest({CHUNK // 3} - (n - k * {CHUNK}), 0) else 0 end lack from n), c as (select *, unnest(range(0, k + 1)) chunk from l),
         b as (select *, chunk * {CHUNK} - case when chunk = k then lack else 0 end b, case when chunk = k then n else (chunk + 1) * {CHUNK} - case when chunk = k - 1 then lack else 0 end end e from c)
