@@ -84,18 +84,19 @@ def absmax(column: Column) -> Column:
     return F.array_max(F.transform(F.filter(column, lambda x: ~F.isnan(x)), lambda x: F.abs(x)))
 
 
-def quantize(column: Column, scale: float) -> Column:
-    """int8 codes: value over scale in single precision, halves to even, clamped."""
+def quantize(column: Column, scale: float | Column) -> Column:
+    """int8 codes: value over scale in single precision, halves to even, clamped. A column of scales has no nulls."""
 
     @F.arrow_udf(ArrayType(ByteType()))
-    def run(values: pa.Array) -> pa.Array:
+    def run(values: pa.Array, scales: pa.Array) -> pa.Array:
         flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-        coded = np.nan_to_num(np.clip(np.rint(flat / np.float32(scale)), -128, 127)).astype(np.int8)
         lengths = np.where(np.asarray(values.is_null()), 0, np.diff(values.offsets.to_numpy()))
+        steps = np.repeat(scales.to_numpy(zero_copy_only=False).astype(np.float32), lengths)
+        coded = np.nan_to_num(np.clip(np.rint(flat / steps), -128, 127)).astype(np.int8)
         offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.append(np.asarray(values.is_null()), False))
         return pa.ListArray.from_arrays(offsets, pa.array(coded))
 
-    return run(column)
+    return run(column, scale if isinstance(scale, Column) else F.lit(scale))
 
 
 def load_npy(data: bytes) -> np.ndarray:

@@ -47,14 +47,14 @@ def encode(catalog: Catalog, profile_id: int = 1, rev: int = 1, known: DataFrame
     has at this revision are left out. The steps are one number a space.
     """
     steps = {r["space"]: scale_from_absmax(r["absmax"]) for r in scales(catalog).collect() if r["vectors"] >= least}
-    named = vector_rows(catalog).join(F.broadcast(spaces(catalog).select("setter", "space", F.col("dim").alias("usual"))), "setter").where("dim = usual")
+    # one pass with the step beside the vector; a union of one scan a space can't be joined by id under adaptive execution (Spark 4.1 zips unequal partitions)
+    stepped = F.broadcast(catalog.spark.createDataFrame(list(steps.items()), "space string, step double"))
+    usual = spaces(catalog).select("setter", "space", F.col("dim").alias("usual")).join(stepped, "space")
+    named = vector_rows(catalog).join(F.broadcast(usual), "setter").where("dim = usual")
     if known is not None:
         named = named.join(known.where((F.col("profile_id") == profile_id) & (F.col("rev") == rev)).select("id"), "id", "left_anti")
-    parts = [named.where(F.col("space") == space).select("id", "setter", quantize(F.col("embedding"), step).alias("quant")) for space, step in steps.items()]
-    if not parts:
-        parts = [named.limit(0).select("id", "setter", F.lit(None).cast("array<tinyint>").alias("quant"))]
-    codes = reduce(DataFrame.unionByName, parts)
-    return codes.select("id", F.lit(profile_id).cast("long").alias("profile_id"), F.lit(rev).cast("long").alias("rev"), "quant", "setter"), steps
+    codes = named.select("id", F.lit(profile_id).cast("long").alias("profile_id"), F.lit(rev).cast("long").alias("rev"), quantize(F.col("embedding"), F.col("step")).alias("quant"), "setter")
+    return codes, steps
 
 
 def inline(new: DataFrame, catalog: Catalog, profile_id: int, rev: int = 1) -> DataFrame:

@@ -111,6 +111,28 @@ def test_vectors(spark):
     assert coded[1] == [64, 0] and coded[2] == [0, 127] and coded[3] is None
 
 
+def test_steps_row_by_row(spark):
+    rows = spark.createDataFrame([(1, [1.0, -0.25], 0.5), (2, None, 2.0), (3, [float("nan"), 900.0, 3.0], 2.0), (4, [], 1.0)], "id long, v array<float>, s double")
+    coded = {r.id: r.q for r in rows.coalesce(1).select("id", vectors.quantize(F.col("v"), F.col("s")).alias("q")).collect()}
+    assert coded == {1: [2, 0], 2: None, 3: [0, 127, 2], 4: []}
+
+
+def test_codes_joined_by_shuffles(spark):
+    # tables too large for a broadcast: codes of several spaces are joined to the vectors by id
+    ids = {i: 3 if i % 50 == 0 else 1 + i % 2 for i in range(1, 301)}
+    c = made(spark, setters=[(1, "m"), (2, "n"), (3, "small")], item_data=[(i, i, 1, s, "clip") for i, s in ids.items()], embeddings=[(i, [float(i), -1.0][: 1 + s % 2]) for i, s in ids.items()])
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        codes, steps = quants.encode(c, least=100)
+        assert set(steps) == {"m", "n"} and codes.count() == 294
+        done = quants.finished(c.but(embedding_quants=codes.drop("setter")), 1, 1, least=6)
+        assert sorted(map(tuple, done.collect())) == [("m", 144, 0, "ready"), ("n", 150, 0, "ready"), ("small", 6, 6, "building")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert quants.encode(c, least=1000)[0].count() == 0
+
+
 def test_npy():
     import io
 
